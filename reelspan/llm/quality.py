@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame
 from reelspan.llm.common import NOT_SPACE, U64, Roller, Words, covered, mix, pieces, repeated, sums
 
 #: The window lengths measured, with the largest share of word characters that may lie in duplicates, in percent.
-LENGTHS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+LENGTHS = {5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}
 
 
 @dataclass(frozen=True)
 class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_symbol_percent: int = 10
-    max_dup_line_percent: int = 30
-    max_dup_line_char_percent: int = 20
+    max_symbol_percent: int = 25
+    max_dup_line_percent: int = 50
+    max_dup_line_char_percent: int = 30
     max_ngram_percent: tuple[tuple[int, int], ...] = tuple(LENGTHS.items())
 
 
