@@ -13,6 +13,7 @@ from reelspan.llm.decontam import find_contamination
 from reelspan.llm.linededup import dedup_lines
 from reelspan.llm.mixing import mix_sources
 from reelspan.llm.quality import LENGTHS, measure_quality
+from reelspan.llm.setsketch import SketchRules, near_duplicates
 from reelspan.llm.tokencount import count_tokens
 from reelspan.llm.warc import read_records, write_archives
 
@@ -51,6 +52,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("line_total").alias("n_lines"), F.size("line_gone").cast("long").alias("n_removed"), F.array_join("line_gone", ",").alias("removed"), F.sha2(F.coalesce("line_kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), rules=SketchRules(width=3, percent=85))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op8_warc": op8_warc,
+    "op10_setsketch_dedup": op10_setsketch_dedup,
 }
 
 
@@ -156,5 +162,18 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(bits, 5 * k + 1, 1)::INT + 8 * substr(bits, 5 * k + 2, 1)::INT + 4 * substr(bits, 5 * k + 3, 1)::INT + 2 * substr(bits, 5 * k + 4, 1)::INT + substr(bits, 5 * k + 5, 1)::INT)::INT, 1)), '') AS payload_digest,
   CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
 FROM d
+""",
+    "op10_setsketch_dedup": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END)) AS s FROM t),
+classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT rep, n, unnest(s) AS w FROM classes),
+shared AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM g a JOIN g b ON a.w = b.w AND a.rep < b.rep GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 85 * (n + m - k)),
+arcs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT rep AS node, rep AS far FROM classes UNION SELECT r.node, e.b FROM reach r JOIN arcs e ON r.far = e.a),
+comp AS (SELECT node, min(far) AS c FROM reach GROUP BY node)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, coalesce(comp.c, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN classes USING (s) LEFT JOIN comp ON comp.node = classes.rep
 """,
 }
