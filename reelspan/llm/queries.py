@@ -13,6 +13,7 @@ from reelspan.llm.decontam import find_contamination
 from reelspan.llm.linededup import dedup_lines
 from reelspan.llm.mixing import mix_sources
 from reelspan.llm.quality import LENGTHS, measure_quality
+from reelspan.llm.rlbwt import remove_repeats
 from reelspan.llm.setsketch import SketchRules, near_duplicates
 from reelspan.llm.tokencount import count_tokens
 from reelspan.llm.warc import read_records, write_archives
@@ -56,6 +57,12 @@ def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), rules=SketchRules(width=3, percent=85))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return done.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op8_warc": op8_warc,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_setsketch_dedup": op10_setsketch_dedup,
 }
 
