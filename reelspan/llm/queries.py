@@ -12,6 +12,7 @@ from reelspan.llm.common import table
 from reelspan.llm.decontam import find_contamination
 from reelspan.llm.linededup import dedup_lines
 from reelspan.llm.mixing import mix_sources
+from reelspan.llm.passages import find_passages
 from reelspan.llm.quality import LENGTHS, measure_quality
 from reelspan.llm.rlbwt import remove_repeats
 from reelspan.llm.setsketch import SketchRules, near_duplicates
@@ -63,6 +64,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
+    "op7_passage_dedup": op7_passage_dedup,
     "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_setsketch_dedup": op10_setsketch_dedup,
