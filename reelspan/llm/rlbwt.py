@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.llm.common import U64, Roller, mix, pieces, row_key, stored, text_bytes
-from reelspan.llm.suffix import suffix_array
+from reelspan.llm.suffix import byte_suffix_array
 
-LENGTH, GRAM, HOT, SHARD = 200, 32, 4096, 1 << 20
+LENGTH, GRAM, HOT, SHARD = 200, 32, 4096, 900_000
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -92,39 +92,31 @@ class RunLengthIndex:
 
     heads and ends are suffix positions where runs begin and end; head_match and
     end_match the lengths that the suffix there shares with the one before or
-    after it in order. Separators differ from each other, so no match crosses a piece.
+    after it in order. Suffixes are ordered beyond the longest piece, so all
+    matches inside pieces are decided. The separator 0xFF is in no UTF-8.
     """
 
     def __init__(self, parts: list[bytes]):
         size = np.array([len(p) for p in parts])
         self.begin = np.cumsum(size + 1) - size - 1
-        raw = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
-        n = len(raw)
-        text = raw.astype(np.int64) + len(parts)
-        stops = self.begin + size
-        text[stops] = np.arange(len(parts))
-        width = int(text.max() + 1).bit_length()
-        step = max(1, 62 // width)
-        key = np.zeros(n, np.int64)
-        for k in range(step):  # the first symbols in one number
-            key <<= width
-            key[: n - k] |= text[k:]
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        sa = suffix_array(text, rank=rank, step=step)
-        bwt = text[sa - 1]
-        change = bwt[1:] != bwt[:-1]
-        first = np.flatnonzero(np.concatenate([[True], change]))
+        self.stop = self.begin + size
+        data = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
+        n = len(data)
+        most = int(size.max()) + 1
+        sa = byte_suffix_array(data, most)
+        bwt = data[sa - 1]  # separators differ, so each is a run of its own
+        first = np.flatnonzero(np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0xFF)]))
         last = np.append(first[1:], n) - 1
         self.symbols, self.lengths, self.n = bwt[first], last - first + 1, n
         self.heads, self.ends = sa[first], sa[last]
         before, after = sa[np.maximum(first - 1, 0)], sa[np.minimum(last + 1, n - 1)]
-        pad = np.concatenate([text, np.arange(-1, -9, -1)])
-        self.head_match = np.where(first > 0, _common(pad, self.heads, before, n), 0)
-        self.end_match = np.where(last < n - 1, _common(pad, self.ends, after, n), 0)
+        self.head_match = np.where(first > 0, _common(data, self.heads, before, most), 0)
+        self.end_match = np.where(last < n - 1, _common(data, self.ends, after, most), 0)
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position, the length of its longest match at any other position."""
-        return np.maximum(self._stream(self.heads, self.head_match), self._stream(self.ends, self.end_match))
+        """For each position, the length of its longest match at any other position; no match goes beyond its piece."""
+        most = np.maximum(self._stream(self.heads, self.head_match), self._stream(self.ends, self.end_match))
+        return np.minimum(most, np.repeat(self.stop, np.diff(np.append(self.begin, self.n))) - np.arange(self.n))
 
     def _stream(self, at: np.ndarray, match: np.ndarray) -> np.ndarray:
         source = np.zeros(self.n, np.int64)
@@ -135,17 +127,20 @@ class RunLengthIndex:
         return np.maximum(value[source] - (np.arange(self.n) - source), 0)
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Lengths of the common prefixes of suffixes a and b."""
+def _common(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes a and b, as far as ``most``."""
+    n = len(data)
+    text = np.concatenate([data, np.full(8, 0xFF, np.uint8)])
     out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+    word = np.lib.stride_tricks.sliding_window_view(text, 8)
     while len(live):
         x, y = a[live] + out[live], b[live] + out[live]
         fits = np.maximum(x, y) < n
         live, x, y = live[fits], x[fits], y[fits]
-        same = text[x[:, None] + np.arange(8)] == text[y[:, None] + np.arange(8)]
+        same = word[x] == word[y]
         run = np.where(same.all(1), 8, same.argmin(1))
         out[live] += run
-        live = live[run == 8]
+        live = live[(run == 8) & (out[live] < most)]
     return out
 
 

@@ -32,6 +32,53 @@ def suffix_array(seq: np.ndarray, depth: int | None = None, rank: np.ndarray | N
     return order
 
 
+def byte_suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
+    """Starts of the suffixes of bytes, in order by their first ``depth`` bytes at least.
+
+    Bytes 0xFF are separators: each differs from all others and is more than any
+    before it. Keys and positions share one word while they fit, so a round is
+    one plain sort. ``depth`` beyond the longest piece gives the full order.
+    """
+    n = len(data)
+    place = max(1, int(n).bit_length())
+    step = max(1, (63 - place) // 8)
+    key, ended = np.zeros(n, np.int64), np.zeros(n, bool)
+    for k in range(step):
+        key <<= 8
+        key[: n - k] |= np.where(ended[: n - k], 0, data[k:])
+        ended[: n - k] |= data[k:] == 0xFF
+    mask, at = (1 << place) - 1, np.arange(n)
+    packed = np.sort(key << place | at)
+    first = True
+    while True:
+        order = packed & mask
+        fresh = np.zeros(n, np.int64)
+        packed >>= place
+        fresh[1:] = packed[1:] != packed[:-1]
+        if first:  # separators in keys are equal there, and differ by their place
+            fresh[1:] |= ended[order[1:]]
+            first = False
+        np.cumsum(fresh, out=fresh)
+        if step >= depth or fresh[-1] == n - 1:
+            return order
+        rank = np.empty(n + 1, np.int64)
+        rank[order] = fresh + 1
+        rank[n] = 0
+        second = np.zeros(n, np.int64)
+        second[: max(0, n - step)] = rank[min(step, n) : n]
+        if 3 * place + 1 <= 63:
+            packed = np.sort((rank[:n] << place | second) << place | at)
+        else:
+            key = rank[:n] * (n + 1) + second
+            order = np.argsort(key)
+            # equal keys get equal places above the position bits
+            s = key[order]
+            fresh[0] = 0
+            fresh[1:] = s[1:] != s[:-1]
+            packed = np.cumsum(fresh) << place | order
+        step *= 2
+
+
 class WaveletMatrix:
     """Ranks of symbols 0 .. sigma - 1 in a sequence: a bit vector with running counts for each bit of a symbol."""
 
