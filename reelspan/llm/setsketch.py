@@ -10,13 +10,14 @@ bucket keys: at similarity 0.85 a pair shares none of 21 bands of 3 with
 probability 2e-9.
 
 Texts with equal sets are one class, known by a 128-bit digest of the set, so
-groups of copies cost one row. Buckets are searched by stars: each member is
-paired with one pivot, so a bucket makes as many pairs as rows. Pairs whose
-joint maximum-likelihood similarity is far below the threshold go; for the
-others the full sets are compared exactly. Verified links give components, and
-the next star takes other pivots and only pairs between different components.
-At last all pairs of a bucket that still lie in different components are
-compared, so no link between components is lost to the choice of pivots.
+groups of copies cost one row. Buckets are first searched by stars: each member
+is paired with the bucket's least id, so a bucket makes as many pairs as rows.
+Pairs whose joint maximum-likelihood similarity is far below the threshold go;
+for the others the full sets are compared exactly. Verified links give
+components. Buckets of three or more that still hold different components are
+then compared inside, set against set, in one place: they return only links
+that join components, so a group of near copies returns fewer links than rows,
+and no link between components is lost to the choice of pivots.
 
 Null and empty texts have an empty set and are linked with nothing. A row with
 a null id is linked with nothing and kept. Texts that share an id may share a node
@@ -48,7 +49,6 @@ class SketchRules:
     rows: int = 3
     #: Pairs with an estimate this much below the threshold are not verified: over five standard errors of 63 registers.
     margin: float = 0.25
-    stars: int = 2
 
     @property
     def registers(self) -> int:
@@ -175,6 +175,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, rules: SketchRules) -> DataFram
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "keys_a", "keys_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _within(buckets: DataFrame, rules: SketchRules) -> DataFrame:
+    """Links (a, b) between different components of a bucket, from rows (key, rep, comp, keys): enough to connect all that are linked.
+
+    All sets of a bucket are compared here, by counts of common shingles in
+    blocks; only links that join two components are returned. Members that
+    have too many shingles to themselves to be linked with any other go first.
+    """
+
+    def solve(rep: list, comp: list, sets: list) -> list[tuple]:
+        n = np.array([len(x) for x in sets])
+        token, code = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), n)
+        often = np.bincount(code) > 1
+        both = np.bincount(owner[often[code]], minlength=len(sets))
+        live = np.flatnonzero(100 * both >= rules.percent * n)
+        if len(live) < 2 or len({comp[i] for i in live}) < 2:
+            return []
+        spot = np.full(len(sets), -1)
+        spot[live] = np.arange(len(live))
+        use = often[code] & (spot[owner] >= 0)
+        column = np.cumsum(often)[code[use]] - 1
+        row = spot[owner[use]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        width = column[-1] + 1
+        size, parent = n[live], {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        out, label = [], [comp[i] for i in live]
+        for low in range(0, len(live), 512):  # a stripe of rows against all from there on
+            high = min(low + 512, len(live))
+            common = np.zeros((high - low, len(live) - low), np.float32)
+            for c in range(0, width, 2048):
+                part = slice(*np.searchsorted(column, [c, c + 2048]))
+                dense = np.zeros((len(live) - low, min(2048, width - c)), np.float32)
+                inside = row[part] >= low
+                dense[row[part][inside] - low, column[part][inside] - c] = 1
+                common += dense[: high - low] @ dense.T
+            linked = 100 * common >= rules.percent * (size[low:high, None] + size[None, low:] - common)
+            for x, y in zip(*(k + low for k in np.nonzero(np.triu(linked, 1))), strict=True):
+                p, q = root(label[x]), root(label[y])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append(tuple(sorted((rep[live[x]], rep[live[y]]))))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, ([], [], [])
+        found: list[tuple] = []
+        for batch in batches:
+            for key, rep, comp, keys in zip(*(batch.column(c).to_pylist() for c in ("key", "rep", "comp", "keys")), strict=True):
+                if key != current:
+                    if len(set(held[1])) > 1:
+                        found += solve(*held)
+                    current, held = key, ([], [], [])
+                for x, y in zip(held, (rep, comp, np.frombuffer(keys, U64)), strict=True):
+                    x.append(y)
+        if len(set(held[1])) > 1:
+            found += solve(*held)
+        a, b = zip(*sorted(set(found)), strict=True) if found else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return buckets.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: SketchRules = SketchRules()) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable) and kept, a row for each row of docs."""
     rows = stored(sketch(docs, doc_id, text, rules), "sketches")
@@ -186,30 +256,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = members.select(F.col("rep").alias("node")).distinct()
     known = stored(classes.select("rep", "n", "regs").join(nodes, F.col("rep") == F.col("node"), "left_semi"), "known")
     sets = stored(_sets(docs, nodes, doc_id, text, rules), "sets")
-    links: DataFrame | None = None
-    comps: DataFrame | None = None
-    for k in range(rules.stars + 1):
-        placed = members.withColumn("comp", F.col("rep")) if comps is None else members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        if k < rules.stars:
-            order = F.col("rep") if k == 0 else F.xxhash64("rep", F.lit(k))
-            pivot = placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "comp")).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-            pairs = placed.join(pivot, "key").where("comp <> pivot_comp").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        else:
-            mixed = placed.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d").select("key")
-            left = stored(placed.join(mixed, "key", "left_semi"), "mixed")
-            other = left.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = left.join(other, "key").where("rep < b AND comp <> comp_b").select(F.col("rep").alias("a"), "b").distinct()
-        a = known.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a"))
-        b = known.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b"))
-        sized = pairs.join(a, "a").join(b, "b").where(F.expr(f"100 * least(n_a, n_b) >= {rules.percent} * greatest(n_a, n_b)"))
-        likely = _estimates(sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b"), rules).where(F.col("est") >= rules.percent / 100 - rules.margin)
-        if k == 0:  # a member's most likely pivot; the other pivots come later, if they still matter
-            likely = likely.groupBy("b").agg(F.max_by("a", "est").alias("a"))
-        found = stored(_verified(likely, sets, rules), f"links-{k}")
-        if k and found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        comps = components(links, f"components-{k}")
+    pivot = members.groupBy("key").agg(F.min("rep").alias("a"))
+    pairs = members.select("key", F.col("rep").alias("b")).join(pivot, "key").where("a <> b").select("a", "b").distinct()
+    a = known.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a"))
+    b = known.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b"))
+    sized = pairs.join(a, "a").join(b, "b").where(F.expr(f"100 * least(n_a, n_b) >= {rules.percent} * greatest(n_a, n_b)"))
+    likely = _estimates(sized.select("a", "b", "n_a", "n_b", "regs_a", "regs_b"), rules).where(F.col("est") >= rules.percent / 100 - rules.margin)
+    links = stored(_verified(likely, sets, rules), "links")
+    comps = components(links, "components-a")
+    # a bucket of two is decided; larger ones may hold links besides those of their pivot
+    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count("*").alias("m")).where("c < d AND m > 2").select("key")
+    inner = placed.join(mixed, "key", "left_semi").join(sets.withColumnRenamed("node", "rep"), "rep")
+    more = stored(_within(inner.select("key", "rep", "comp", "keys"), rules), "more-links")
+    if not more.isEmpty():
+        comps = components(links.unionByName(more), "components-b")
     rep_comp = comps.withColumnsRenamed({"node": "rep", "comp": "component"})
     label = classes.select("k1", "k2", "n", "rep").join(rep_comp, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", "n", "k1", "k2").join(label, ["k1", "k2", "n"], "left")
