@@ -1,4 +1,249 @@
 """Every query of the engine over the driver's tables, with its SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelspan.functions import text as T
+from reelspan.operators import edits as E
+from reelspan.operators import segments as S
+from reelspan.sources.adapters import segments_from_documents, silences_from_events, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def us(*names: str) -> list:
+    return [T.micros(F.col(n)).alias(f"{n}_us") for n in names]
+
+
+def _silences(spark, d):
+    return silences_from_events(table(spark, d, "events"))
+
+
+def _edits(spark, d):
+    return E.edit_list(_silences(spark, d))
+
+
+def _segments(spark, d):
+    return segments_from_documents(table(spark, d, "documents"))
+
+
+# independent SQL: boundaries of the timeline, slices between them, a silence for each slice's midpoint
+_PLAN = """
+WITH ev AS (SELECT user_id AS media_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9::DOUBLE AS s, value FROM events),
+sil AS (SELECT media_id, s AS start_, s + value / 25.0::DOUBLE AS end_, max(s) OVER (PARTITION BY media_id) + 5.0::DOUBLE AS duration FROM ev),
+clip AS (SELECT media_id, duration, greatest(0.0::DOUBLE, start_) AS s, least(duration, end_) AS e FROM sil),
+reach AS (SELECT *, max(e) OVER (PARTITION BY media_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM clip WHERE e - s > 1e-6::DOUBLE),
+isl AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + 0.08::DOUBLE + 1e-6::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM reach),
+merged AS (SELECT media_id, (island - 1)::INT AS idx, any_value(duration) AS duration, min(s) AS s, max(e) AS e FROM isl GROUP BY media_id, island),
+flags AS (SELECT *, e - s + 1e-6::DOUBLE >= 1.2::DOUBLE AS eligible, s <= 1e-6::DOUBLE AS ts, e >= duration - 1e-6::DOUBLE AS te FROM merged),
+cand AS (SELECT *, CASE WHEN ts AND te THEN s + 0.35::DOUBLE WHEN ts THEN s WHEN te THEN s + 0.35::DOUBLE ELSE s + least(0.35::DOUBLE, e - s) / 2 END AS cs,
+  CASE WHEN te THEN e WHEN ts THEN e - 0.35::DOUBLE ELSE e - least(0.35::DOUBLE, e - s) / 2 END AS ce FROM flags),
+rem AS (SELECT media_id, idx, duration, s, e, eligible, CASE WHEN eligible AND ce - cs > 1e-6::DOUBLE THEN cs END AS cs, CASE WHEN eligible AND ce - cs > 1e-6::DOUBLE THEN ce END AS ce FROM cand),
+bounds AS (SELECT media_id, 0.0::DOUBLE AS t FROM rem UNION SELECT media_id, duration FROM rem UNION SELECT media_id, s FROM rem UNION SELECT media_id, e FROM rem
+  UNION SELECT media_id, cs FROM rem WHERE cs IS NOT NULL UNION SELECT media_id, ce FROM rem WHERE ce IS NOT NULL),
+slices AS (SELECT media_id, t AS a, lead(t) OVER (PARTITION BY media_id ORDER BY t) AS b FROM bounds),
+mid AS (SELECT media_id, a, b, (a + b) / 2 AS m FROM slices WHERE b - a > 1e-6::DOUBLE),
+named AS (SELECT mid.media_id, a, b, rem.idx, CASE WHEN rem.cs <= m AND m < rem.ce THEN 'remove' ELSE 'keep' END AS action,
+  CASE WHEN rem.idx IS NULL THEN 'content' WHEN rem.cs <= m AND m < rem.ce THEN 'compressed_silence' WHEN NOT eligible THEN 'short_silence' WHEN rem.cs IS NULL THEN 'silence_kept' ELSE 'retained_silence' END AS reason
+  FROM mid LEFT JOIN rem ON mid.media_id = rem.media_id AND rem.s <= m AND m < rem.e),
+step AS (SELECT *, CASE WHEN lag(action) OVER o = action AND lag(reason) OVER o = reason AND lag(idx) OVER o IS NOT DISTINCT FROM idx AND a <= lag(b) OVER o + 1e-6::DOUBLE THEN 0 ELSE 1 END AS new FROM named WINDOW o AS (PARTITION BY media_id ORDER BY a)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY media_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS g FROM step),
+edits AS (SELECT media_id, min(a) AS a, max(b) AS b, any_value(action) AS action, any_value(reason) AS reason, any_value(idx) AS idx FROM runs GROUP BY media_id, g)
+"""
+_US = lambda x: f"round_even(({x}) * 1e6::DOUBLE, 0)::BIGINT"
+_SPANS = lambda action: f"""{_PLAN}, own AS (SELECT *, CASE WHEN a <= lag(b) OVER (PARTITION BY media_id ORDER BY a) + 1e-6::DOUBLE THEN 0 ELSE 1 END AS fresh FROM edits WHERE action = '{action}'),
+grp AS (SELECT *, sum(fresh) OVER (PARTITION BY media_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS k FROM own),
+spans AS (SELECT media_id, min(a) AS a, max(b) AS b FROM grp GROUP BY media_id, k)"""
+_SHIFT = _SPANS("keep") + """, gaps AS (SELECT *, CASE WHEN a - coalesce(lag(b) OVER (PARTITION BY media_id ORDER BY a), 0.0::DOUBLE) > 1e-6::DOUBLE THEN a - coalesce(lag(b) OVER (PARTITION BY media_id ORDER BY a), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS gap FROM spans),
+shifts AS (SELECT media_id, a, b, sum(gap) OVER (PARTITION BY media_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS shift FROM gaps)"""
+
+
+@query(_PLAN + f"SELECT media_id, max(b) IS NOT NULL AS planned, count(*) AS n_edits, round_even(sum(b - a) FILTER (action = 'keep') * 1e3::DOUBLE, 0)::BIGINT AS kept_ms, round_even(coalesce(sum(b - a) FILTER (action = 'remove'), 0) * 1e3::DOUBLE, 0)::BIGINT AS removed_ms FROM edits GROUP BY media_id")
+def edit_plan_totals(spark, d):
+    t = E.plan_totals(_edits(spark, d))
+    return t.select("media_id", F.lit(True).alias("planned"), "n_edits", F.bround(F.col("kept") * 1e3).cast("bigint").alias("kept_ms"), F.bround(F.col("removed") * 1e3).cast("bigint").alias("removed_ms"))
+
+
+@query(_PLAN + f"SELECT media_id, idx AS silence_index, {_US('s')} AS start_us, {_US('e')} AS end_us FROM merged")
+def silence_merge(spark, d):
+    return E.merge_silences(_silences(spark, d)).select("media_id", "silence_index", *us("start", "end"))
+
+
+@query(_PLAN + f"SELECT media_id, idx AS silence_index, eligible, coalesce({_US('cs')}, -1) AS cut_start_us, coalesce({_US('ce')}, -1) AS cut_end_us FROM rem")
+def silence_removals(spark, d):
+    return E.removals(E.merge_silences(_silences(spark, d))).select("media_id", "silence_index", "eligible", *us("cut_start", "cut_end")).fillna(-1)
+
+
+@query(_PLAN + f"SELECT media_id, {_US('a')} AS start_us, {_US('b')} AS end_us, action, reason, coalesce(idx, -1) AS silence_index FROM edits")
+def edit_list(spark, d):
+    return _edits(spark, d).select("media_id", *us("start", "end"), "action", "reason", F.coalesce("silence_index", F.lit(-1)).alias("silence_index"))
+
+
+@query(_PLAN + "SELECT action, reason, count(*) AS n FROM edits GROUP BY action, reason")
+def edit_reason_histogram(spark, d):
+    return _edits(spark, d).groupBy("action", "reason").agg(F.count("*").alias("n"))
+
+
+@query(_SPANS("keep") + f"SELECT media_id, {_US('a')} AS start_us, {_US('b')} AS end_us FROM spans")
+def edit_keep_spans(spark, d):
+    return E.coalesced(_edits(spark, d), "keep").select("media_id", *us("start", "end"))
+
+
+@query(_SPANS("remove") + f"SELECT media_id, {_US('a')} AS start_us, {_US('b')} AS end_us FROM spans")
+def edit_remove_spans(spark, d):
+    return E.coalesced(_edits(spark, d), "remove").select("media_id", *us("start", "end"))
+
+
+@query(_SHIFT + " SELECT media_id, round_even(a * 1e3::DOUBLE, 0)::BIGINT AS start_ms, round_even(shift * 1e3::DOUBLE, 0)::BIGINT AS shift_ms FROM shifts")
+def timestamp_shifts(spark, d):
+    s = E.timestamp_shifts(E.coalesced(_edits(spark, d), "keep"))
+    return s.select("media_id", F.bround(F.col("start") * 1e3).cast("bigint").alias("start_ms"), F.bround(F.col("shift") * 1e3).cast("bigint").alias("shift_ms"))
+
+
+@query(_SHIFT + """, pts AS (SELECT media_id, s + 2.5::DOUBLE AS t FROM ev)
+SELECT p.media_id, round_even(t * 1e3::DOUBLE, 0)::BIGINT AS t_ms, round_even((t - shift) * 1e3::DOUBLE, 0)::BIGINT AS t_out_ms FROM pts p JOIN shifts k ON p.media_id = k.media_id AND k.a <= t AND t < k.b""")
+def time_map(spark, d):
+    points = _silences(spark, d).select("media_id", (F.col("start") + 2.5).alias("t"))
+    m = E.edited_times(points, E.coalesced(_edits(spark, d), "keep"))
+    return m.select("media_id", F.bround(F.col("t") * 1e3).cast("bigint").alias("t_ms"), F.bround(F.col("t_out") * 1e3).cast("bigint").alias("t_out_ms"))
+
+
+_SEG = """
+WITH ls AS (SELECT doc_id AS media_id, string_split(text, chr(10)) AS ls FROM documents),
+ln AS (SELECT media_id, unnest(ls) AS text, (generate_subscripts(ls, 1) - 1)::INT AS pos FROM ls),
+tm AS (SELECT *, (length(text) * 1000) // 5 AS ms, coalesce(sum((length(text) * 1000) // 5 + CASE WHEN pos % 7 = 6 THEN 3000 ELSE 400 END) OVER (PARTITION BY media_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM ln),
+seg AS (SELECT media_id, pos, off AS s, off + ms AS e, text FROM tm),
+rd AS (SELECT media_id, pos, s, e, regexp_replace(trim(regexp_replace(text, '[\\s\\x1c-\\x1f]+', ' ', 'g')), ' +([,.;:!?])', '\\1', 'g') AS t FROM seg),
+ok AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY s, e, pos) AS rn FROM rd WHERE t <> '')
+""".replace("\\\\", "\\")
+_TS = lambda ms, sep=".": f"printf('%02d:%02d:%02d{sep}%03d', ({ms}) // 3600000, ({ms}) % 3600000 // 60000, ({ms}) % 60000 // 1000, ({ms}) % 1000)"
+_CLOCK = lambda ms: f"printf('%02d:%02d:%02d', ({ms}) // 3600000, ({ms}) % 3600000 // 60000, ({ms}) % 60000 // 1000)"
+
+
+@query(_SEG + "SELECT media_id, pos, s AS start_ms, e AS end_ms, t AS text FROM ok")
+def normalized_segments(spark, d):
+    r = S.readable(_segments(spark, d))
+    return r.select("media_id", "pos", T.millis(F.col("start")).alias("start_ms"), T.millis(F.col("end")).alias("end_ms"), "text")
+
+
+@query(_SEG.replace("WITH", "WITH RECURSIVE", 1) + r""",
+b AS (SELECT media_id, rn, 0 AS k, s AS fs, e AS le, t AS txt, t AS last, s // 300000 * 300 AS section FROM ok WHERE rn = 1
+  UNION ALL
+  SELECT media_id, rn, CASE WHEN brk THEN k + 1 ELSE k END, CASE WHEN brk THEN s ELSE fs END, e, CASE WHEN brk THEN t ELSE regexp_replace(txt || ' ' || t, ' ([,.;:!?])', '\1', 'g') END, t, CASE WHEN brk THEN s // 300000 * 300 ELSE section END
+  FROM (SELECT o.media_id, o.rn, o.s, o.e, o.t, b.k, b.fs, b.txt, b.section, o.s // 300000 * 300 <> b.section OR o.s / 1000.0::DOUBLE - b.le / 1000.0::DOUBLE >= 2.5::DOUBLE OR length(b.txt) + 1 + length(o.t) > 700 OR o.e / 1000.0::DOUBLE - b.fs / 1000.0::DOUBLE > 60::DOUBLE
+    OR (length(b.txt) >= 300 AND regexp_matches(b.last, '[.!?]["'')\]]?$')) AS brk FROM b JOIN ok o ON o.media_id = b.media_id AND o.rn = b.rn + 1)),
+blocks AS (SELECT media_id, k AS block_index, max(section) AS section_start, max(fs) AS start_ms, max(le) AS end_ms, arg_max(txt, rn) AS text FROM b GROUP BY media_id, k)
+SELECT media_id, block_index, section_start, start_ms, end_ms, text FROM blocks""")
+def readable_blocks(spark, d):
+    b = S.readable_blocks(_segments(spark, d))
+    return b.select("media_id", "block_index", "section_start", T.millis(F.col("start")).alias("start_ms"), T.millis(F.col("end")).alias("end_ms"), "text")
+
+
+_WIN = _SEG + """,
+wd AS (SELECT *, max(e) OVER (PARTITION BY media_id) AS dur FROM ok),
+wb AS (SELECT *, greatest(300, (ceil(dur / 1000.0::DOUBLE / 12 / 60) * 60)::BIGINT) AS w FROM wd),
+wk AS (SELECT *, least(s // (1000 * w), 11) AS bucket FROM wb),
+wg AS (SELECT media_id, bucket, any_value(w) AS w, any_value(dur) AS dur, count(*) AS segment_count, regexp_replace(string_agg(t, ' ' ORDER BY s, e, pos), ' +([,.;:!?])', '\\1', 'g') AS text FROM wk GROUP BY media_id, bucket),
+win AS (SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY bucket))::INT AS id, bucket * w * 1000 AS start_ms, least((bucket + 1) * w * 1000, dur) AS end_ms, text, length(text) AS char_count, segment_count FROM wg)
+""".replace("\\\\", "\\")
+
+
+@query(_WIN + "SELECT * FROM win")
+def prompt_windows(spark, d):
+    w = S.prompt_windows(_segments(spark, d))
+    return w.select("media_id", "id", T.millis(F.col("start")).alias("start_ms"), T.millis(F.col("end")).alias("end_ms"), "text", "char_count", "segment_count")
+
+
+@query(_WIN + f""" SELECT media_id, string_agg('<window id="' || id || '" time="' || {_CLOCK('start_ms')} || '-' || {_CLOCK('end_ms')} || '">' || chr(10) || text || chr(10) || '</window>', chr(10) || chr(10) ORDER BY id) AS prompt FROM win GROUP BY media_id""")
+def window_prompt(spark, d):
+    return S.render_windows(S.prompt_windows(_segments(spark, d)))
+
+
+@query(_SEG + f""", n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY pos) AS n FROM seg), st AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM n)
+SELECT media_id, string_agg(n || chr(10) || {_TS('s', ',')} || ' --> ' || {_TS('e', ',')} || chr(10) || x, chr(10) || chr(10) ORDER BY pos) || chr(10) AS srt FROM st WHERE x <> '' GROUP BY media_id""")
+def render_srt(spark, d):
+    return S.render_srt(_segments(spark, d))
+
+
+@query(_SEG + f""", p AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM seg)
+SELECT media_id, string_agg('[' || {_TS('s')} || '] ' || x, chr(10) ORDER BY pos) AS prompt FROM p WHERE x <> '' GROUP BY media_id""")
+def prompt_lines(spark, d):
+    return S.prompt_lines(_segments(spark, d))
+
+
+@query()
+def transcript_markdown(spark, d):
+    return S.render_markdown(_segments(spark, d), "documents")
+
+
+@query(f"SELECT event_id, {_TS('round_even(value * 1000, 0)::BIGINT')} AS plain, {_TS('round_even(value * 1000, 0)::BIGINT', ',')} AS srt, printf('%d:%02d:%02d.%02d', c // 360000, c % 360000 // 6000, c % 6000 // 100, c % 100) AS ass FROM (SELECT event_id, value * 37.0::DOUBLE AS value, round_even(value * 37.0::DOUBLE * 100, 0)::BIGINT AS c FROM events)")
+def timestamps(spark, d):
+    v = table(spark, d, "events").select("event_id", (F.col("value") * 37.0).alias("v"))
+    return v.select("event_id", T.timestamp(F.col("v")).alias("plain"), T.timestamp(F.col("v"), True).alias("srt"), T.ass_time(F.col("v")).alias("ass"))
+
+
+@query("""SELECT doc_id, greatest(1, floor(length(text) / 2.8::DOUBLE))::BIGINT AS tokens, sha256(text) AS sha256, len(regexp_extract_all(text, '\\b[A-Za-z0-9][A-Za-z0-9_./+#''-]*\\b'))::BIGINT AS english_words FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+def text_measures(spark, d):
+    t = table(spark, d, "documents").where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return t.select("doc_id", T.prompt_tokens(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("sha256"), T.english_words(F.col("text")).alias("english_words"))
+
+
+@query("""SELECT page_id, CASE WHEN s = '' THEN 'video' ELSE s END AS stem FROM (SELECT page_id, trim(regexp_replace(url, '[^\\p{L}\\p{N}_\\-]', '_', 'g'), '_') AS s FROM pages)""")
+def safe_stem(spark, d):
+    return table(spark, d, "pages").select("page_id", T.safe_stem(F.col("url")).alias("stem"))
+
+
+_TARGETS = """
+WITH w AS (SELECT doc_id, n_chars AS words, n_chars % 13 AS wins FROM documents),
+a AS (SELECT *, ceil(0.20::DOUBLE * words / 100)::BIGINT * 100 AS lo, ceil(0.27::DOUBLE * words / 100)::BIGINT * 100 AS hi FROM w),
+b AS (SELECT *, least(2200, greatest(1200, lo)) AS wmin FROM a), c AS (SELECT *, least(2600, greatest(wmin + 400, hi)) AS wmax FROM b),
+g AS (SELECT *, greatest(10, least(18, greatest(wins + 2, round_even(wmin / 120.0::DOUBLE, 0)::BIGINT))) AS gmin FROM c),
+t AS (SELECT doc_id, words, wmin AS words_min, wmax AS words_max, gmin AS groups_min, greatest(gmin + 4, least(22, ceil(wmax / 100.0::DOUBLE)::BIGINT)) AS groups_max FROM g),
+o AS (SELECT *, least(16384, greatest(8192, ceil((2 * words_max + 1024) / 2048.0::DOUBLE)::BIGINT * 2048)) AS output, greatest(1, floor(words / 2.8::DOUBLE))::BIGINT AS est FROM t),
+x AS (SELECT *, CASE WHEN est <= 65536 - output - 1024 THEN least(65536, greatest(8192, ceil((est + output + 1024) / 2048.0::DOUBLE)::BIGINT * 2048)) END AS context FROM o)
+"""
+
+
+@query(_TARGETS + "SELECT doc_id, words_min::BIGINT AS words_min, words_max::BIGINT AS words_max, groups_min::BIGINT AS groups_min, groups_max::BIGINT AS groups_max, output::BIGINT AS output, context::BIGINT AS context, round_even((18 + 4.2::DOUBLE * context / 8192 + 4) * 1000, 0)::BIGINT AS memory_mib FROM x")
+def summary_sizing(spark, d):
+    w = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("words"), (F.col("n_chars") % 13).alias("wins"))
+    t = w.withColumns(T.summary_targets(F.col("words"), F.col("wins"))).withColumn("output", T.output_budget(F.col("words_max")))
+    t = t.withColumn("context", T.stage_context(F.greatest(F.lit(1), F.floor(F.col("words") / 2.8)).cast("bigint"), F.col("output")))
+    return t.select("doc_id", "words_min", "words_max", "groups_min", "groups_max", "output", "context", F.bround(T.memory_gib(F.col("context")) * 1000).cast("bigint").alias("memory_mib"))
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(substr(text, 1, 78), '\\s+', ' ', 'g')), ' ') AS ws FROM documents), x AS (SELECT doc_id, ws, array_to_string(ws, ' ') AS t FROM w),
+c AS (SELECT doc_id, list_min(list_transform(range(1, len(ws)), lambda i: {'o': greatest(0, length(array_to_string(ws[:i], ' ')) - 42) + greatest(0, length(array_to_string(ws[i + 1:], ' ')) - 42),
+  'd': abs(length(array_to_string(ws[:i], ' ')) - length(array_to_string(ws[i + 1:], ' '))), 'l': array_to_string(ws[:i], ' '), 'r': array_to_string(ws[i + 1:], ' ')})) AS m, t, len(ws) AS n FROM x)
+SELECT doc_id, CASE WHEN length(t) <= 42 OR n < 2 THEN t ELSE m.l || chr(10) || m.r END AS lines FROM c""")
+def balanced_lines(spark, d):
+    t = F.trim(F.regexp_replace(F.substring("text", 1, 78), r"\s+", " "))
+    return table(spark, d, "documents").select("doc_id", T.balanced_lines(t).alias("lines"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS f FROM documents), t AS (SELECT DISTINCT f, regexp_replace(f, '[^\\p{L}]', '', 'g') AS l FROM w)
+SELECT f AS form FROM t WHERE length(l) > 0 AND ((length(l) >= 2 AND NOT regexp_matches(l, '[^\\p{Lu}]')) OR regexp_matches(f, '\\p{Nd}') OR regexp_matches(substr(f, 2), '\\p{Lu}') OR regexp_matches(f, '[+/#_.\\-]'))""")
+def technical_forms(spark, d):
+    forms = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("form")).distinct()
+    return forms.where(T.technical_shape(F.col("form")))
+
+
+@query("""SELECT user_id AS media_id, event_type AS stage, count(*) AS n_events, arg_max(event_id, ts) AS latest_event, greatest(5368709120, 2 * max(event_id) + 32000 * count(*))::BIGINT AS disk_bytes FROM events GROUP BY user_id, event_type""")
+def job_latest_state(spark, d):
+    g = table(spark, d, "events").groupBy(F.col("user_id").alias("media_id"), F.col("event_type").alias("stage"))
+    return g.agg(F.count("*").alias("n_events"), F.max_by("event_id", "ts").alias("latest_event"), F.greatest(F.lit(5368709120), 2 * F.max("event_id") + 32000 * F.count("*")).cast("bigint").alias("disk_bytes"))
