@@ -11,6 +11,7 @@ from reelspan.functions import text as T
 from reelspan.operators import edits as E
 from reelspan.operators import segments as S
 from reelspan.sources.adapters import segments_from_documents, silences_from_events, table
+from reelspan.sources.silence_log import parse_silence_log, render_silence_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -247,3 +248,9 @@ def technical_forms(spark, d):
 def job_latest_state(spark, d):
     g = table(spark, d, "events").groupBy(F.col("user_id").alias("media_id"), F.col("event_type").alias("stage"))
     return g.agg(F.count("*").alias("n_events"), F.max_by("event_id", "ts").alias("latest_event"), F.greatest(F.lit(5368709120), 2 * F.max("event_id") + 32000 * F.count("*")).cast("bigint").alias("disk_bytes"))
+
+
+@query(_PLAN + f"SELECT media_id, idx AS silence_index, {_US('s')} AS start_us, {_US('e')} AS end_us, 0::BIGINT AS n_errors FROM merged")
+def silence_log_parse(spark, d):
+    parsed = parse_silence_log(render_silence_log(E.merge_silences(_silences(spark, d))))
+    return parsed.select("media_id", "silence_index", *us("start", "end"), F.col("error").isNotNull().cast("bigint").alias("n_errors"))
