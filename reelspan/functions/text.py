@@ -104,3 +104,18 @@ def stage_context(estimate: Column, output: Column, context: int = 65536) -> Col
 
 def memory_gib(context: Column) -> Column:
     return 18 + F.lit(4.2) * context / 8192 + 4
+
+
+def fixed_micros(x: Column) -> Column:
+    """A number of 0 or more with six decimals, rounded from its exact binary value (half to even).
+
+    format_string rounds the shortest decimal form instead, which differs at
+    ties. The error of the product is computed exactly from two halves of x.
+    """
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * 1e6
+    error = (high * 1e6 - product) + (x - high) * 1e6
+    whole = F.floor(product)
+    beyond = (product - whole - 0.5) + error
+    n = whole + F.when((beyond > 0) | ((beyond == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.concat(_div(n, 1_000_000).cast("string"), F.lit("."), F.lpad((n % 1_000_000).cast("string"), 6, "0"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspan.functions.text import fixed_micros
 from reelspan.params import SilenceParams
 
 
@@ -96,3 +97,18 @@ def edited_times(points: DataFrame, keeps: DataFrame) -> DataFrame:
     by = Window.partitionBy("media_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumns({"until": F.last("end", True).over(by), "cut": F.last("shift", True).over(by)})
     return seen.where("kind = 1 AND t < until").select("media_id", "t", (F.col("t") - F.col("cut")).alias("t_out"))
+
+
+def filter_graph(keeps: DataFrame) -> DataFrame:
+    """(media_id, graph): the renderer's expression that selects the kept spans and closes the gaps between them."""
+    by = Window.partitionBy("media_id").orderBy("start")
+    rows = keeps.withColumn("gap", F.col("start") - F.lag("end").over(by))
+    start, end, gap = (fixed_micros(F.col(n)) for n in ("start", "end", "gap"))
+    keep = F.concat(F.lit("gte(t,"), start, F.lit(")*lt(t,"), end, F.lit(")"))
+    move = F.concat(F.lit("gte(T,"), start, F.lit(")*"), gap)
+    parts = F.array_sort(F.collect_list(F.struct("start", keep.alias("keep"), F.when(F.col("gap") > 1e-6, move).alias("move"))))
+    grouped = rows.groupBy("media_id").agg(parts.alias("p"))
+    chosen, moved = F.array_join("p.keep", "+"), F.array_join("p.move", "+")
+    pts = F.when(moved == "", F.lit("PTS-STARTPTS")).otherwise(F.concat(F.lit("PTS-STARTPTS-("), moved, F.lit(")/TB")))
+    track = lambda tag, kind, out: [F.lit(f"[0:{tag}:0]{kind}select='"), chosen, F.lit(f"',{kind}setpts='"), pts, F.lit(f"'[{out}]")]
+    return grouped.select("media_id", F.concat(*track("v", "", "vout"), F.lit(";\n"), *track("a", "a", "aout"), F.lit("\n")).alias("graph"))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from reelspan.functions import text as T
 from reelspan.operators import edits as E
 from reelspan.operators import segments as S
+from reelspan.operators import subtitles as U
+from reelspan.operators import terms as M
 from reelspan.sources.adapters import segments_from_documents, silences_from_events, table
+from reelspan.sources.probe import read_probes
 from reelspan.sources.silence_log import parse_silence_log, render_silence_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +257,92 @@ def job_latest_state(spark, d):
 def silence_log_parse(spark, d):
     parsed = parse_silence_log(render_silence_log(E.merge_silences(_silences(spark, d))))
     return parsed.select("media_id", "silence_index", *us("start", "end"), F.col("error").isNotNull().cast("bigint").alias("n_errors"))
+
+
+@query(_SPANS("keep") + """, parts AS (SELECT *, a - lag(b) OVER (PARTITION BY media_id ORDER BY a) AS gap FROM spans),
+g AS (SELECT media_id, string_agg(printf('gte(t,%.6f)*lt(t,%.6f)', a, b), '+' ORDER BY a) AS chosen, string_agg(printf('gte(T,%.6f)*%.6f', a, gap), '+' ORDER BY a) FILTER (gap > 1e-6::DOUBLE) AS moved FROM parts GROUP BY media_id),
+h AS (SELECT *, CASE WHEN moved IS NULL THEN 'PTS-STARTPTS' ELSE 'PTS-STARTPTS-(' || moved || ')/TB' END AS pts FROM g)
+SELECT media_id, '[0:v:0]select=''' || chosen || ''',setpts=''' || pts || '''[vout];' || chr(10) || '[0:a:0]aselect=''' || chosen || ''',asetpts=''' || pts || '''[aout]' || chr(10) AS graph FROM h""")
+def filter_graph(spark, d):
+    return E.filter_graph(E.coalesced(_edits(spark, d), "keep"))
+
+
+_TOKENS = _SEG + r""",
+wl AS (SELECT media_id, pos, s, e, string_split(t, ' ') AS ws FROM ok),
+wu AS (SELECT media_id, pos, s, e, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM wl),
+wp AS (SELECT *, sum(length(w) + 1) OVER o - 1 AS char_end, sum(CASE WHEN regexp_matches(w, '[\p{L}\p{N}_]') THEN 1 ELSE 0 END) OVER o AS token FROM wu WINDOW o AS (PARTITION BY media_id, pos ORDER BY k ROWS UNBOUNDED PRECEDING)),
+tk AS (SELECT media_id, pos, token, s, e, string_agg(w, '' ORDER BY k) AS text, min(char_end - length(w)) AS char_start, max(char_end) AS char_end FROM wp WHERE token > 0 GROUP BY media_id, pos, token, s, e),
+tn AS (SELECT *, max(token) OVER (PARTITION BY media_id, pos) AS n, greatest(0.01::DOUBLE, e / 1000.0::DOUBLE - s / 1000.0::DOUBLE) AS len FROM tk)
+"""
+
+
+@query(_TOKENS + "SELECT media_id, pos, (token - 1)::BIGINT AS token_index, text, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, floor((s / 1000.0::DOUBLE + len * (token - 1) / n) * 1000 + 1e-6::DOUBLE)::BIGINT AS start_ms, floor((s / 1000.0::DOUBLE + len * token / n) * 1000 + 1e-6::DOUBLE)::BIGINT AS end_ms FROM tn")
+def source_tokens(spark, d):
+    t = U.source_tokens(_segments(spark, d))
+    ms = lambda n: F.floor(F.col(n) * 1000 + 1e-6).cast("bigint").alias(f"{n}_ms")
+    return t.select("media_id", "pos", "token_index", "text", "char_start", "char_end", ms("start"), ms("end"))
+
+
+@query(_SEG.replace("WITH", "WITH RECURSIVE", 1) + r""",
+b AS (SELECT media_id, rn, 0 AS k, s AS fs FROM ok WHERE rn = 1
+  UNION ALL
+  SELECT o.media_id, o.rn, CASE WHEN o.e - b.fs > 120000 THEN k + 1 ELSE k END, CASE WHEN o.e - b.fs > 120000 THEN o.s ELSE b.fs END FROM b JOIN ok o ON o.media_id = b.media_id AND o.rn = b.rn + 1)
+SELECT b.media_id, printf('c%03d', k + 1) AS chunk_id, min(s) AS start_ms, arg_max(e, ok.rn) AS end_ms, regexp_replace(string_agg(t, ' ' ORDER BY ok.rn), ' +([,.;:!?])', '\1', 'g') AS text, count(*) AS n_segments
+FROM b JOIN ok ON ok.media_id = b.media_id AND ok.rn = b.rn GROUP BY b.media_id, k""")
+def correction_chunks(spark, d):
+    c = U.correction_chunks(_segments(spark, d))
+    return c.select("media_id", "chunk_id", T.millis(F.col("start")).alias("start_ms"), T.millis(F.col("end")).alias("end_ms"), "text", F.col("n_segments").cast("bigint").alias("n_segments"))
+
+
+def _cues(spark, d):
+    return U.build_cues(U.words_of_tokens(U.source_tokens(_segments(spark, d))))
+
+
+@query()
+def subtitle_cues(spark, d):
+    return _cues(spark, d).select("media_id", "cue_index", *us("start", "end"), "text")
+
+
+@query()
+def subtitle_srt(spark, d):
+    return U.subtitle_srt(_cues(spark, d))
+
+
+@query()
+def subtitle_ass(spark, d):
+    return U.subtitle_ass(_cues(spark, d))
+
+
+_FORM = r"regexp_replace(trim({}), '^\p{{P}}+|\p{{P}}+$', '', 'g')".format
+_CLOSED = "regexp_matches({}, '[.!?,;:]$')".format
+
+
+@query(SQL["correction_chunks"].replace("SELECT b.media_id, printf", ", ch AS (SELECT b.media_id, printf", 1) + rf"""),
+wl AS (SELECT media_id, chunk_id, string_split(text, ' ') AS ws FROM ch),
+wu AS (SELECT media_id, chunk_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM wl),
+wp AS (SELECT *, sum(CASE WHEN regexp_matches(w, '[\p{{L}}\p{{N}}_]') THEN 1 ELSE 0 END) OVER (PARTITION BY media_id, chunk_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS token FROM wu),
+tk AS (SELECT media_id, chunk_id, token, string_agg(w, '' ORDER BY k) AS t, string_agg(w, ' ' ORDER BY k) AS r FROM wp WHERE token > 0 GROUP BY media_id, chunk_id, token),
+g1 AS (SELECT media_id, chunk_id, 1 AS width, r AS txt, [t] AS ps FROM tk),
+g2 AS (SELECT a.media_id, a.chunk_id, 2, a.r || ' ' || b.r, [a.t, b.t] FROM tk a JOIN tk b ON a.media_id = b.media_id AND a.chunk_id = b.chunk_id AND b.token = a.token + 1 WHERE NOT {_CLOSED('a.t')}),
+g3 AS (SELECT a.media_id, a.chunk_id, 3, a.r || ' ' || b.r || ' ' || c.r, [a.t, b.t, c.t] FROM tk a JOIN tk b ON a.media_id = b.media_id AND a.chunk_id = b.chunk_id AND b.token = a.token + 1
+  JOIN tk c ON a.media_id = c.media_id AND a.chunk_id = c.chunk_id AND c.token = a.token + 2 WHERE NOT {_CLOSED('a.t')} AND NOT {_CLOSED('b.t')}),
+g AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3),
+f AS (SELECT media_id, chunk_id, width, {_FORM('txt')} AS form, list_transform(ps, lambda p: {_FORM('p')}) AS ps FROM g),
+x AS (SELECT *, regexp_replace(form, '[^\p{{L}}]', '', 'g') AS l FROM f WHERE length(form) <= 40)
+SELECT media_id, form, count(*)::BIGINT AS occurrence_count, count(DISTINCT chunk_id) AS scope_count FROM x
+WHERE length(l) > 0 AND ((length(l) >= 2 AND NOT regexp_matches(l, '[^\p{{Lu}}]')) OR regexp_matches(form, '\p{{Nd}}') OR regexp_matches(substr(form, 2), '\p{{Lu}}') OR regexp_matches(form, '[+/#_.\-]'))
+  AND (width = 1 OR len(list_filter(ps, lambda p: NOT regexp_matches(p, '^[A-Z0-9]$'))) = 0 OR len(list_filter(ps, lambda p: NOT regexp_matches(p, '^\p{{Lu}}.+$'))) = 0)
+GROUP BY media_id, form""")
+def term_counts(spark, d):
+    return M.term_counts(M.term_occurrences(U.correction_chunks(_segments(spark, d))))
+
+
+@query("""SELECT event_id AS media_id, CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 5 <> 0 THEN value * 2 ELSE 0 END AS duration, 1::BIGINT AS n_video, (event_id % 2)::BIGINT AS n_audio,
+event_id % 2 = 1 AND CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 5 <> 0 THEN value * 2 ELSE 0 END > 0 AS usable FROM events""")
+def media_probes(spark, d):
+    e = table(spark, d, "events").withColumn("id", F.col("event_id"))
+    whole = F.when(F.col("id") % 3 == 0, F.col("value").cast("string")).otherwise("N/A")
+    track = lambda kind, length: F.struct(kind.alias("codec_type"), length.alias("duration"))
+    kind = F.when(F.col("id") % 2 == 1, "audio").otherwise("data")
+    streams = F.array(track(F.lit("video"), F.lit("-1")), track(kind, F.when(F.col("id") % 5 != 0, (F.col("value") * 2).cast("string"))))
+    return read_probes(e.select(F.col("id").alias("media_id"), F.to_json(F.struct(F.struct(whole.alias("duration")).alias("format"), streams.alias("streams"))).alias("probe")))
