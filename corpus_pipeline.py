@@ -14,13 +14,17 @@ from reelspan.llm.common import stored, table
 from reelspan.llm.decontam import drop_contaminated
 from reelspan.llm.linededup import dedup_lines
 from reelspan.llm.mixing import mix_sources
-from reelspan.llm.quality import keep_good
+from reelspan.llm.quality import QualityRules, keep_good
 from reelspan.llm.setsketch import near_duplicates
 
 
+#: At 25 % of symbols, the limit that op1's SQL states, rows of fragments between pipes pass.
+RULES = QualityRules(max_symbol_percent=10)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return keep_good(docs)
+    return keep_good(docs, RULES)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
