@@ -27,9 +27,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, RULES)
 
 
+LINE_WORDS = 50
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; so does a document of which nothing but white space is left."""
-    done = dedup_lines(docs)
+    """Later repeats of runs of three lines or of 50 words go; so does a document of which nothing but white space is left."""
+    done = dedup_lines(docs, words=LINE_WORDS)
     cut = F.size("line_gone") > 0
     left = done.where(~cut | F.col("line_kept").rlike("[^\\x20\\x09-\\x0D]"))
     return left.withColumn("n_chars", F.when(cut, F.length("line_kept").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("line_kept")).select(*docs.columns)

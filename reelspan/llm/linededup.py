@@ -9,7 +9,9 @@ dropped by a join of positions. Around the others, matches extend both ways:
 each window that selected the fingerprint is keyed by all its lines, and windows
 with equal keys are equal runs. The first in (doc_id, position) order stays;
 the lines of every later one go, so longer repeats go as unions of their
-windows. No pairs are made: a group of copies costs its number of rows.
+windows. With ``words``, runs of fewer lines form windows too once they have that
+many words, so a repeat goes if it has ``run`` lines or ``words`` words, and a
+document of one or two lines takes part. No pairs are made: a group of copies costs its number of rows.
 
 Rows are known by doc_id and a hash of the text. Identical repeated rows are
 one document in two places and get the same result; equal texts under different
@@ -28,20 +30,27 @@ RUN = 3
 WORD = r"[^\\x20\\x09-\\x0D]"
 
 
-def _windows(docs: DataFrame, doc_id: str, text: str, run: int) -> DataFrame:
+def _windows(docs: DataFrame, doc_id: str, text: str, run: int, words: int | None) -> DataFrame:
     """Every window of non-blank lines: its document, start, line numbers, fingerprint and key."""
+    count = "0" if words is None else f"size(regexp_extract_all(l, '{WORD}+', 0))"
     lines = docs.select(F.col(doc_id).alias("d"), row_key(text).alias("r"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("ls")).select(
-        "d", "r", F.expr(f"filter(transform(ls, (l, i) -> named_struct('i', i, 'h', xxhash64(l), 'word', l rlike '{WORD}')), x -> x.word)").alias("x")
+        "d", "r", F.expr(f"filter(transform(ls, (l, i) -> named_struct('i', i, 'h', xxhash64(l), 'n', {count}, 'word', l rlike '{WORD}')), x -> x.word)").alias("x")
     )
-    cut = lines.where(F.size("x") >= run).select("d", "r", F.explode(F.expr(f"transform(sequence(0, size(x) - {run}), s -> named_struct('s', s, 'w', slice(x, s + 1, {run})))")).alias("e"))
+    of = lambda n: f"transform(sequence(0, size(x) - {n}), s -> named_struct('s', s, 'w', slice(x, s + 1, {n})))"
+    if words is None:
+        each = lines.where(F.size("x") >= run).withColumn("e", F.expr(of(run)))
+    else:
+        long = [f"if(size(x) >= {n}, filter({of(n)}, e -> aggregate(e.w, 0, (a, y) -> a + y.n) >= {words}), array())" for n in range(1, run)]
+        each = lines.withColumn("e", F.expr(f"concat({', '.join([*long, f'if(size(x) >= {run}, {of(run)}, array())'])})"))
+    cut = each.select("d", "r", F.explode("e").alias("e"))
     hashes = F.expr("transform(e.w, y -> y.h)")
     # lines of a repeated row are one place, not two
-    return cut.select("d", "r", F.col("e.s").alias("s"), F.expr("transform(e.w, y -> y.i)").alias("at"), F.array_min(hashes).alias("fp"), F.xxhash64(hashes).alias("k1"), F.xxhash64(F.lit(run), F.reverse(hashes)).alias("k2"))
+    return cut.select("d", "r", F.col("e.s").alias("s"), F.expr("transform(e.w, y -> y.i)").alias("at"), F.array_min(hashes).alias("fp"), F.xxhash64(hashes).alias("k1"), F.xxhash64(F.size("e.w"), F.reverse(hashes)).alias("k2"))
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
     """(d, r, gone): for documents with later repeats, the line numbers to delete."""
-    windows = _windows(docs, doc_id, text, run)
+    windows = _windows(docs, doc_id, text, run, words)
     place = F.struct("d", "r", "s")
     often = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("fp")
     near = windows.join(often, "fp", "left_semi")
@@ -50,9 +59,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return later.groupBy("d", "r").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
     """All rows and columns, with ``line_gone`` (numbers of deleted lines), ``line_total`` and ``line_kept`` (the text that is left)."""
-    gone = repeated_lines(docs, doc_id, text, run).withColumnsRenamed({"d": "__d", "r": "__r", "gone": "__gone"})
+    gone = repeated_lines(docs, doc_id, text, run, words).withColumnsRenamed({"d": "__d", "r": "__r", "gone": "__gone"})
     keyed = docs.withColumn("__hash", row_key(text))
     joined = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__r")), "left")
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as P
+from reelspan.llm.linededup import dedup_lines
 
 rng = random.Random(4)
 
@@ -16,3 +17,22 @@ def test_fragments_between_pipes_go(spark):
     junk = " | ".join(f"item{i}" for i in range(120))  # 15 % symbols
     docs = spark.createDataFrame([(1, clean), (2, junk)], "doc_id long, text string")
     assert [r.doc_id for r in P.quality_rules(spark, docs, "").collect()] == [1]
+
+
+def test_short_runs_of_many_words_go(spark):
+    lines = [prose(rng.choice([5, 30, 60])) for _ in range(12)]
+    docs = {i: [rng.choice(lines) if rng.random() < 0.6 else prose(9) for _ in range(rng.choice([1, 2, 5]))] for i in range(60)}
+    docs |= {100: lines[:2], 101: lines[:2], 102: [prose(50)], 103: [prose(49)]}
+    docs |= {104: docs[102], 105: docs[103]}
+    first, gone = {}, {i: set() for i in docs}
+    for i in sorted(docs):
+        for n in (1, 2, 3):
+            for s in range(len(docs[i]) - n + 1):
+                run = tuple(docs[i][s : s + n])
+                if (n == 3 or sum(len(x.split()) for x in run) >= 50) and first.setdefault(run, (i, s)) != (i, s):
+                    gone[i] |= set(range(s, s + n))
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string")
+    assert {r.doc_id: set(r.line_gone) for r in dedup_lines(df, words=50).collect()} == gone
+    assert gone[104] == {0} and not gone[105] and gone[101]
+    left = {r.doc_id for r in P.line_dedup(spark, df.selectExpr("*", "length(text) AS n_chars"), "").collect()}
+    assert left == {i for i in docs if len(gone[i]) < len(docs[i])}
