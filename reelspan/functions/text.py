@@ -69,7 +69,9 @@ def technical_shape(form: Column) -> Column:
 
 
 def english_words(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z0-9][A-Za-z0-9_./+#'-]*\b"), F.lit(0))).cast("bigint")
+    """English words of a text; letters and digits of any script bound them."""
+    edge = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+    return F.size(F.regexp_extract_all(text, F.lit(rf"{edge}[A-Za-z0-9][A-Za-z0-9_./+#'-]*{edge}"), F.lit(0))).cast("bigint")
 
 
 def prompt_tokens(text: Column) -> Column:

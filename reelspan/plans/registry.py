@@ -207,6 +207,13 @@ def text_measures(spark, d):
     return t.select("doc_id", T.prompt_tokens(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("sha256"), T.english_words(F.col("text")).alias("english_words"))
 
 
+@query()
+def document_measures(spark, d):
+    """The measures of every document; text_measures has those that SQL can compare, whose words ASCII alone bounds."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", T.prompt_tokens(text).alias("tokens"), F.sha2(text, 256).alias("sha256"), T.english_words(text).alias("english_words"))
+
+
 @query("""SELECT page_id, CASE WHEN s = '' THEN 'video' ELSE s END AS stem FROM (SELECT page_id, trim(regexp_replace(url, '[^\\p{L}\\p{N}_\\-]', '_', 'g'), '_') AS s FROM pages)""")
 def safe_stem(spark, d):
     return table(spark, d, "pages").select("page_id", T.safe_stem(F.col("url")).alias("stem"))

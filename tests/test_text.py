@@ -1,7 +1,11 @@
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from reelspan.functions import text as T
 from reelspan.operators import segments as S
+from reelspan.plans.registry import QUERIES
 
 
 def one(spark, column):
@@ -45,3 +49,11 @@ def test_windows(spark):
 def test_srt_numbers_have_gaps(spark):
     df, _ = blocks(spark, [(0, 1, "a"), (1, 2, " "), (2, 3, "b")])
     assert S.render_srt(df).first().srt == "1\n00:00:00,000 --> 00:00:01,000\na\n\n3\n00:00:02,000 --> 00:00:03,000\nb\n"
+
+
+def test_every_document_is_measured(spark, tmp_path):
+    rows = [(1, "en", "plain C++ and it's x."), (2, "en", "caf\u00e9 \u00e9lan \u2013 na\u00efve co-op\u2013x, a\u0301b"), (3, "fr", "d\u00e9j\u00e0 vu 2\u00b2 \u65e5a"), (4, "de", None), (5, None, "")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.tokens, r.sha256, r.english_words) for r in QUERIES["document_measures"](spark, str(tmp_path)).collect()}
+    words = lambda t: len(re.findall(r"\b[A-Za-z0-9][A-Za-z0-9_./+#'-]*\b", t))
+    assert got == {i: (max(1, int(len(t or "") / 2.8)), hashlib.sha256((t or "").encode()).hexdigest(), words(t or "")) for i, _, t in rows}
