@@ -310,6 +310,12 @@ def subtitle_cues(spark, d):
     return _cues(spark, d).select("media_id", "cue_index", *us("start", "end"), "text")
 
 
+@query()
+def balanced_cues(spark, d):
+    """The lines of every cue; balanced_lines has the beginnings of documents, which SQL can compare."""
+    return _cues(spark, d).select("media_id", "cue_index", T.balanced_lines(F.col("text")).alias("lines"))
+
+
 @query()
 def subtitle_srt(spark, d):
     return U.subtitle_srt(_cues(spark, d))

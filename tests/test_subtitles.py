@@ -45,3 +45,14 @@ def test_documents(spark):
     ass = {r.media_id: r.ass for r in U.subtitle_ass(cues).collect()}
     assert ass[1].endswith("Dialogue: 0,0:00:00.00,0:00:01.00,Default,,0,0,0,,a.\nDialogue: 0,0:00:02.00,0:00:03.00,Default,,0,0,0,,\\{b\\}\n")
     assert U.build_cues(spark.createDataFrame([], "media_id long, sequence int, start double, end double, text string")).count() == 0
+
+
+def test_every_cue_is_balanced(spark, tmp_path):
+    from reelspan.plans.registry import QUERIES
+
+    text = " ".join(f"word{i}" for i in range(90))
+    spark.createDataFrame([(1, text, "en", "a", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    cues = {r.cue_index: r.text for r in QUERIES["subtitle_cues"](spark, str(tmp_path)).collect()}
+    lines = {r.cue_index: r.lines for r in QUERIES["balanced_cues"](spark, str(tmp_path)).collect()}
+    assert {i: x.replace("\n", " ") for i, x in lines.items()} == cues and sum(map(len, cues.values())) > 78
+    assert "word89" in " ".join(cues.values()) and all("\n" in x for i, x in lines.items() if len(cues[i]) > 42)
