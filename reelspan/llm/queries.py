@@ -174,7 +174,7 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM p),
 d AS (SELECT *, array_to_string(list_transform(string_split(h, ''), lambda x: list_extract(['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'], (instr('0123456789abcdef', x))::INT)), '') AS bits FROM m)
 SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(bits, 5 * k + 1, 1)::INT + 8 * substr(bits, 5 * k + 2, 1)::INT + 4 * substr(bits, 5 * k + 3, 1)::INT + 2 * substr(bits, 5 * k + 4, 1)::INT + substr(bits, 5 * k + 5, 1)::INT)::INT, 1)), '') AS payload_digest,
-  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+  CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
 FROM d
 """,
     "op10_setsketch_dedup": r"""

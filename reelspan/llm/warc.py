@@ -4,16 +4,23 @@
 the index as a Parquet table. Of pages with equal payloads, the one with the
 largest page_id is a ``response`` record with the payload and the others are
 ``revisit`` records that refer to it; payloads below ``min_bytes`` are all
-responses. ``read_records`` sorts the wanted index rows by file and offset,
-joins neighbouring byte ranges into reads of bounded size, and parses the
-records that come back. Archives are written and read with pyarrow's file
-systems, so any store that Spark and pyarrow share will do.
-
-An archive's name carries its task attempt; the index lists only what committed
-attempts wrote, so lost executors and repeated tasks leave unlisted files and
-no wrong rows. Null html is an empty payload. Rows that repeat a page_id with
-the same payload are all responses (there is no other page to refer to); a null
-page_id counts as the smallest. Extra columns are ignored.
+responses. That is decided on digests alone: the copies of a payload are counted
+in SALTS parts first, and only a page's own decision meets its body, by (page_id,
+digest), so no task gets all copies of one payload. ``read_records`` sorts the
+wanted index rows by file and offset, joins neighbouring byte ranges into reads
+of bounded size, and parses one record at a time. Archives are written and read
+with pyarrow's file systems, so any store that Spark and pyarrow share will do.
+
+Memory: a writer holds WRITE bytes of bodies, a reader READ compressed and YIELD
+inflated bytes, and either at least one record. An archive's name carries its
+task attempt; the index lists only what committed attempts wrote, so lost
+executors and repeated tasks leave unlisted files and no wrong rows.
+
+Null html is an empty payload, very long html one record, an empty table no
+record. Rows that repeat a page_id with the same payload are all responses
+(there is no other page to refer to). A null page_id counts as the smallest: it
+refers to the page with the largest id, and is a response if no page has one.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +33,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import scratch
+from reelspan.llm.common import pieces, scratch
 
 #: Ranges nearer than GAP are read together, up to READ bytes at once; an archive ends after FILE bytes.
 GAP, READ, FILE = 64 << 10, 4 << 20, 256 << 20
+#: Bytes of bodies that a writer turns into records at once, and of payloads in a batch that a reader returns.
+WRITE, YIELD = 1 << 20, 4 << 20
+#: Compressed bytes for a reading task; parts in which the copies of a payload are counted.
+TASK, SALTS = 16 << 20, 16
 
 
 def record_id(page_id: int | None) -> str:
@@ -50,7 +61,14 @@ def open_store(url: str):
     """pyarrow's file system for a URL, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else f"file://{url}")
+    return fs.FileSystem.from_uri(url)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark resolves it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return whole if "://" in whole else whole.replace("file:/", "file:///", 1)
 
 
 def clean_header(value: str) -> str:
@@ -98,25 +116,35 @@ INDEX = "page_id bigint, url string, file string, offset bigint, length bigint,
 RECORD = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint"
 
 
+def revisits(slim: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, sha1, refers_to) of the pages (page_id, sha1, n) that repeat a payload of a page with a larger id."""
+    long = slim.where(F.col("n") >= min_bytes).select("page_id", "sha1", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = long.groupBy("sha1", "salt").agg(F.max("page_id").alias("keep"), F.min("page_id").alias("least"), F.max(F.col("page_id").isNull()).alias("unnamed"))
+    shared = parts.groupBy("sha1").agg(F.max("keep").alias("refers_to"), F.min("least").alias("least"), F.max("unnamed").alias("unnamed"))
+    shared = shared.where((F.col("least") < F.col("refers_to")) | (F.col("unnamed") & F.col("refers_to").isNotNull()))
+    each = shared.select("sha1", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = long.join(each, ["sha1", "salt"])
+    return named.where(F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))).select("page_id", "sha1", "refers_to").distinct()
+
+
 def write_archives(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Write the archives and their index under ``path``; returns the index."""
     spark = pages.sparkSession
-    path = path or scratch(spark, "warc")
-    store = path if "://" in path or path.startswith("file:") else f"file://{path}"
-    rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    # a row for each payload that several pages share, so that the other pages take no part in the exchange of decisions
-    shared = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "sha1").groupBy("sha1").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha1", "keep")
-    decided = rows.join(shared, "sha1", "left").withColumn("refers_to", F.when((F.octet_length("html") >= min_bytes) & (F.col("page_id").isNull() | (F.col("page_id") < F.col("keep"))), F.col("keep")))
-    slim = decided.select("page_id", "url", F.octet_length("html").cast("long").alias("n"), "sha1", "refers_to", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"))
+    store = qualified(spark, path or scratch(spark, "warc"))
+    rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumn("sha1", F.unhex(F.sha1(F.encode("html", "UTF-8")))).withColumn("n", F.octet_length("html").cast("long"))
+    again = revisits(rows.select("page_id", "sha1", "n"), min_bytes).withColumnsRenamed({"page_id": "page", "sha1": "digest"})
+    decided = rows.join(again, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("sha1") == F.col("digest")), "left")
+    slim = decided.select("page_id", "url", "n", "sha1", "refers_to", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, root = open_store(f"{store}/archives")
         out, made, offset, name = None, 0, 0, ""
         try:
-            for batch in batches:
+            for part in (part for batch in batches for part in pieces(batch, "html", WRITE)):
                 index = []
-                for page, url, n, sha1, keep, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "n", "sha1", "refers_to", "html")), strict=True):
+                for page, url, n, sha1, keep, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "n", "sha1", "refers_to", "html")), strict=True):
                     if out is None or offset >= FILE:
                         if out is not None:
                             out.close()
@@ -153,17 +181,24 @@ def read_records(index: DataFrame, payload: bool = False) -> DataFrame:
         held: list[tuple[int, int]] = []
         current, source = None, None
 
-        def read() -> list[tuple]:
+        def read() -> Iterator[pa.RecordBatch]:
             base, end = held[0][0], held[-1][0] + held[-1][1]
             source.seek(base)
-            data = source.read(end - base)
-            found = (parse_record(zlib.decompress(data[o - base : o - base + n], 31)) for o, n in held)
-            return [tuple(r[k] for k in names) for r in found]
+            data = memoryview(source.read(end - base))
+            found, size = [], 0
+            for o, n in held:
+                r = parse_record(zlib.decompress(data[o - base : o - base + n], 31))
+                found.append(tuple(r[k] for k in names))
+                size += len(r["payload"] or b"") if payload else 0
+                if size >= YIELD:
+                    yield _batch(found, schema)
+                    found, size = [], 0
+            yield _batch(found, schema)
 
         for batch in batches:
             for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
                 if held and (file != current or offset - held[-1][0] - held[-1][1] > GAP or offset + length - held[0][0] > READ):
-                    yield _batch(read(), schema)
+                    yield from read()
                     held = []
                 if file != current:
                     if source is not None:
@@ -172,10 +207,11 @@ def read_records(index: DataFrame, payload: bool = False) -> DataFrame:
                     current, source = file, fs.open_input_file(where)
                 held.append((offset, length))
         if held:
-            yield _batch(read(), schema)
+            yield from read()
         if source is not None:
             source.close()
 
-    # a file's ranges, in stretches of 64 MB, are spread over tasks: no task has to read a whole large archive
-    dealt = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / F.lit(64 << 20))).sortWithinPartitions("file", "offset")
+    # neighbouring ranges go to one task, and a large archive to several
+    size = index.agg(F.sum("length")).first()[0] or 0
+    dealt = index.select("file", "offset", "length").repartitionByRange(max(1, -(-size // TASK)), "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, schema)

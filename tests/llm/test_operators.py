@@ -135,6 +135,15 @@ def test_warc(spark):
     assert got[-4].refers_to == 3 and got[None].refers_to == 5 and bytes(got[5].payload).decode() == "é😀"
     assert [page_of(record_id(x)) for x in (0, -1, None, 2**62)] == [0, -1, None, 2**62]
     assert read_records(write_archives(pages.limit(0))).count() == 0
+    # one payload in most rows, a very long one, repeated rows, null ids, a column that clashes with the digest's
+    many = spark.range(3000).selectExpr("if(id % 500 = 499, null, id) AS page_id", "'u' AS url", "if(id % 3 > 0, 'hot', concat('p', id div 6)) AS html", "1 AS sha1", "2 AS refers_to", "3 AS n")
+    many = many.unionByName(many.where("page_id = 7")).unionByName(many.where("page_id = 7").withColumn("page_id", F.lit(9999)).withColumn("html", F.expr("repeat('long é ', 1000000)")))
+    rows = many.select("page_id", "html").collect()
+    keep = {}
+    for r in rows:
+        keep[r.html] = max(keep.get(r.html, -1), -1 if r.page_id is None else r.page_id)
+    expected = sorted((-1 if r.page_id is None else r.page_id, len(r.html.encode()), keep[r.html] if r.page_id != keep[r.html] and keep[r.html] >= 0 else -1) for r in rows)
+    assert sorted((-1 if r.page_id is None else r.page_id, r.payload_bytes, -1 if r.refers_to is None else r.refers_to) for r in read_records(write_archives(many)).collect()) == expected
 
 
 def brute_repeats(texts, length):
