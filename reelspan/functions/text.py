@@ -2,9 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def each(rows: DataFrame, keys: list, items, names: tuple[str, ...]) -> DataFrame:
+    """The keys with a row for each item of an array, (place, item) or item by the number of names.
+
+    An outer explode and a test of what it gives: for a plain explode the
+    optimizer tests the array's size below, which computes a long expression again.
+    """
+    made = (F.posexplode_outer if len(names) == 2 else F.explode_outer)(items).alias(*names)
+    return rows.select(*keys, made).where(F.col(names[-1]).isNotNull())
+
+
+#: Items that a running sum takes at a time.
+BLOCK = 128
+
+
+def running(sizes: Column, first: Column | int = 0) -> Column:
+    """first, first + sizes[0], …: where each item begins, and where the last ends. In blocks, as a fold copies what it has gathered at each step."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(sizes), F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))
+    grow = lambda xs, x: F.aggregate(xs, F.array(x), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    ends = grow(F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda a, n: a + n)), F.lit(first) if isinstance(first, int) else first)
+    inner = F.zip_with(blocks, F.slice(ends, F.lit(1), F.size(blocks)), lambda xs, x: F.slice(grow(xs, x), F.lit(1), F.size(xs)))
+    return F.concat(F.flatten(inner), F.slice(ends, -1, 1))
+
+
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -74,8 +97,12 @@ def english_words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(rf"{edge}[A-Za-z0-9][A-Za-z0-9_./+#'-]*{edge}"), F.lit(0))).cast("bigint")
 
 
+def prompt_tokens_of(characters: Column) -> Column:
+    return F.greatest(F.lit(1).cast("bigint"), F.floor(characters / 2.8).cast("bigint"))
+
+
 def prompt_tokens(text: Column) -> Column:
-    return F.greatest(F.lit(1).cast("bigint"), F.floor(F.length(text) / 2.8).cast("bigint"))
+    return prompt_tokens_of(F.length(text))
 
 
 def safe_stem(name: Column) -> Column:

@@ -112,3 +112,10 @@ def filter_graph(keeps: DataFrame) -> DataFrame:
     pts = F.when(moved == "", F.lit("PTS-STARTPTS")).otherwise(F.concat(F.lit("PTS-STARTPTS-("), moved, F.lit(")/TB")))
     track = lambda tag, kind, out: [F.lit(f"[0:{tag}:0]{kind}select='"), chosen, F.lit(f"',{kind}setpts='"), pts, F.lit(f"'[{out}]")]
     return grouped.select("media_id", F.concat(*track("v", "", "vout"), F.lit(";\n"), *track("a", "a", "aout"), F.lit("\n")).alias("graph"))
+
+
+def uncut(keeps: DataFrame, durations: DataFrame) -> DataFrame:
+    """(media_id, uncut): whether one kept span is the whole recording, so that its streams can be copied."""
+    spans = keeps.groupBy("media_id").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    whole = (F.col("n") == 1) & (F.col("start") <= 1e-4) & (F.col("end") >= F.col("duration") - 1e-3)
+    return spans.join(durations, "media_id").select("media_id", whole.alias("uncut"))

@@ -2,39 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.functions.text import clock, normalized, timestamp
+from reelspan.functions.text import clock, each, normalized, timestamp
 
+#: Fixed output: the notice under the title of a transcript.
+NOTICE = "Automatically transcribed locally; wording may contain recognition errors."
 #: Fixed values of the layout: section and gap seconds, least and most characters, most seconds.
 SECTION, GAP, LEAST, MOST, SECONDS = 300, 2.5, 300, 700, 60
 
 
-def readable(segments: DataFrame) -> DataFrame:
-    """Segments with some text: normalised, times clamped."""
-    start = F.greatest(F.lit(0.0), "start")
-    return segments.select("media_id", "pos", start.alias("start"), F.greatest(start, F.coalesce("end", start)).alias("end"), normalized(F.col("text")).alias("text")).where("text <> ''")
+def strict_time(x: Column, name: str) -> Column:
+    """The time, or an error where it is no finite number."""
+    bad = F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit(f"{name} of a segment must be finite")).cast("double")).otherwise(x)
+
+
+def readable(segments: DataFrame, *more: str) -> DataFrame:
+    """Segments with some text: normalised, times clamped. A time that is not finite is an error."""
+    start, end = (strict_time(F.col(n), n) for n in ("start", "end"))
+    low = F.greatest(F.lit(0.0), F.coalesce(start, F.lit(0.0)))
+    return segments.select("media_id", "pos", low.alias("start"), F.greatest(low, F.coalesce(end, low)).alias("end"), normalized(F.col("text")).alias("text"), *more).where("text <> ''")
 
 
 def readable_blocks(segments: DataFrame) -> DataFrame:
-    """(media_id, block_index, section_start, start, end, text): greedy paragraphs, anchored on their first segment."""
+    """(media_id, block_index, section_start, start, end, text): greedy paragraphs, anchored on their first segment.
+
+    The fold keeps where blocks begin and the present block's text; texts are put together once.
+    """
     rows = readable(segments).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "pos", "text"))).alias("s"))
+    line = "regexp_replace(concat(a.line, ' ', x.text), ' ([,.;:!?])', '$1')"
+    section = f"cast(floor(x.start / {SECTION}) AS bigint)"
     fold = F.expr(
         f"""
-        aggregate(s, cast(array() AS array<struct<section: bigint, start: double, end: double, text: string, last: string>>), (b, x) ->
-          if(size(b) = 0
-             OR cast(floor(x.start / {SECTION}) AS bigint) * {SECTION} <> b[size(b) - 1].section
-             OR x.start - b[size(b) - 1].end >= {GAP}
-             OR length(b[size(b) - 1].text) + 1 + length(x.text) > {MOST}
-             OR x.end - b[size(b) - 1].start > {SECONDS}
-             OR (length(b[size(b) - 1].text) >= {LEAST} AND b[size(b) - 1].last rlike '[.!?]["\\')\\\\]]?$'),
-            concat(b, array(named_struct('section', cast(floor(x.start / {SECTION}) AS bigint) * {SECTION}, 'start', x.start, 'end', x.end, 'text', x.text, 'last', x.text))),
-            concat(slice(b, 1, size(b) - 1), array(named_struct('section', b[size(b) - 1].section, 'start', b[size(b) - 1].start, 'end', x.end,
-              'text', regexp_replace(concat(b[size(b) - 1].text, ' ', x.text), ' ([,.;:!?])', '$1'), 'last', x.text)))))
+        aggregate(s, named_struct('i', 0, 'b', cast(array() AS array<int>), 'section', -1L, 'from', 0D, 'until', 0D, 'line', '', 'last', ''), (a, x) ->
+          if(a.i = 0 OR {section} <> a.section OR x.start - a.until >= {GAP} OR length(a.line) + 1 + length(x.text) > {MOST} OR x.end - a.from > {SECONDS}
+             OR (length(a.line) >= {LEAST} AND a.last rlike '[.!?]["\\')\\\\]]?$'),
+            named_struct('i', a.i + 1, 'b', concat(a.b, array(a.i)), 'section', {section}, 'from', x.start, 'until', x.end, 'line', x.text, 'last', x.text),
+            named_struct('i', a.i + 1, 'b', a.b, 'section', a.section, 'from', a.from, 'until', x.end, 'line', {line}, 'last', x.text)),
+          a -> a.b)
         """
     )
-    return rows.select("media_id", F.posexplode(fold).alias("block_index", "b")).select("media_id", "block_index", F.col("b.section").alias("section_start"), "b.start", "b.end", "b.text")
+    blocks = each(rows.withColumn("b", fold), ["media_id", "s", "b"], "b", ("block_index", "i"))
+    part = F.expr("slice(s, i + 1, coalesce(get(b, block_index + 1), size(s)) - i)")
+    return blocks.select("media_id", "block_index", part.alias("p")).select(
+        "media_id", "block_index", (F.floor(F.col("p")[0]["start"] / SECTION) * SECTION).cast("bigint").alias("section_start"), F.col("p")[0]["start"].alias("start"),
+        F.element_at("p", -1)["end"].alias("end"), F.regexp_replace(F.array_join(F.transform("p", lambda x: x["text"]), " "), " ([,.;:!?])", "$1").alias("text"),
+    )
 
 
 def prompt_windows(segments: DataFrame, least: int = 300, most: int = 12) -> DataFrame:
@@ -83,5 +98,5 @@ def render_markdown(segments: DataFrame, title: str) -> DataFrame:
     before = F.lag("section_start").over(by)
     head = F.when(before.isNull(), heading).when(before != F.col("section_start"), F.concat(F.lit("\n"), heading)).otherwise(F.lit(""))
     rows = readable_blocks(segments).withColumn("part", F.concat(head, F.lit("**["), clock(F.col("start")), F.lit("]** "), F.col("text"), F.lit("\n")))
-    top = f"# Transcript — {title}\n\n> Automatically transcribed locally; wording may contain recognition errors.\n\n"
+    top = f"# Transcript — {title}\n\n> {NOTICE}\n\n"
     return _joined(rows, F.col("part"), "block_index", "\n").select("media_id", F.concat(F.lit(top), F.regexp_replace("text", r"(?U)\s+$", ""), F.lit("\n")).alias("markdown"))

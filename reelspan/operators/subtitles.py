@@ -1,21 +1,28 @@
-"""Subtitles: timed tokens of segments, correction chunks, cues and subtitle documents, per recording."""
+"""Subtitles: correction chunks, cues and subtitle documents, per recording.
 
-from __future__ import annotations
+Chunks and cues are greedy and anchored on their first member, so they are
+folds over a recording's array; a fold keeps where its groups begin, and texts
+are put together once from there.
+"""
 
-import math
-import re
-from collections.abc import Iterable, Iterator
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.functions.text import ass_text, ass_time, balanced_lines, normalized, timestamp
-from reelspan.operators.segments import _joined, readable
+from reelspan.functions.text import SPACE, ass_text, ass_time, balanced_lines, each, timestamp
+from reelspan.operators.segments import _joined
+from reelspan.operators.tokens import source_id, token_arrays, token_spans
+
+#: Tokens of a chunk as a column.
+PLACED = "array<struct<source_id: string, token_index: bigint, text: string, char_start: int, char_end: int, start: double, end: double, timing_source: string, probability: double>>"
 
 #: Fixed values of cues: gap, most seconds, most characters, most words, least seconds of a sentence, least display.
 CUE_GAP, CUE_SECONDS, CUE_CHARS, CUE_WORDS, CUE_SENTENCE, CUE_DISPLAY = 0.65, 6.0, 78, 16, 1.0, 1.0
-WORD_CHARACTER = r"[\p{L}\p{N}_]"
+#: Fixed values of overlaps: the least cue, the distance between cues, and how much later a cue starts that only cuts the one before.
+CUE_LEAST, CUE_APART, CUE_LATER = 0.05, 0.02, 0.08
+#: The end of a sentence.
+SENTENCE = r"""[.!?]["')\]]?$"""
 
 #: Fixed format of the styled subtitle document.
 ASS_HEADER = """[Script Info]
@@ -33,155 +40,147 @@ Style: Default,DejaVu Sans,52,&H00FFFFFF,&H000000FF,&H00000000,&H80000000,-1,0,0
 Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"""
 
 
-def tokenized(texts: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
-    """(keys, more, token, text, written, char_start, char_end) of normalised texts; ``written`` keeps the spaces inside a token."""
-    words = texts.select(*keys, *more, F.posexplode(F.split("text", " ")).alias("w", "word"))
-    upto = Window.partitionBy(*keys).orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
-    placed = words.withColumns({"char_end": F.sum(F.length("word") + 1).over(upto) - 1, "token": F.sum(F.col("word").rlike(WORD_CHARACTER).cast("int")).over(upto)}).where("token > 0")
-    own = F.array_sort(F.collect_list(F.struct("w", "word")))
-    grouped = placed.groupBy(*keys, *more, "token").agg(own.alias("own"), F.min(F.col("char_end") - F.length("word")).alias("char_start"), F.max("char_end").alias("char_end"))
-    return grouped.select(*keys, *more, "token", F.array_join("own.word", "").alias("text"), F.array_join("own.word", " ").alias("written"), "char_start", "char_end")
+def tight(line: Column) -> Column:
+    """Words joined by spaces as a line: no space before closing or after opening marks."""
+    return F.regexp_replace(F.regexp_replace(line, r" +([,.;:!?%\])])", "$1"), r"([\[(]) +", "$1")
 
 
-def source_tokens(segments: DataFrame) -> DataFrame:
-    """(media_id, pos, token_index, text, char_start, char_end, start, end) of the readable segments.
+def correction_chunks(segments: DataFrame, seconds: float = 120.0) -> DataFrame:
+    """(media_id, chunk_id, start, end, text, n_segments, tokens): greedy chunks; a longer segment is one by itself.
 
-    A word without any word character is joined to the token before it, or
-    dropped where there is none. Times divide the segment (of 0.01 s at least)
-    evenly among its tokens.
+    The text is the tokens as a line, and a token's place is that in this text.
+    It is an error if the line doesn't have the tokens that went into it.
     """
-    tokens = tokenized(readable(segments), ["media_id", "pos"], ["start", "end"])
-    n = F.max("token").over(Window.partitionBy("media_id", "pos"))
-    length = F.greatest(F.lit(0.01), F.col("end") - F.col("start"))
-    at = lambda i: F.col("start") + length * i / n
-    return tokens.select("media_id", "pos", (F.col("token") - 1).alias("token_index"), "text", "char_start", "char_end", at(F.col("token") - 1).alias("start"), at(F.col("token")).alias("end"))
-
-
-def correction_chunks(segments: DataFrame, seconds: float = 120.0) -> DataFrame:
-    """(media_id, chunk_id, start, end, text, n_segments): greedy chunks, anchored on their first segment; a longer segment is one by itself."""
     if not 30 <= seconds <= 150:
         raise ValueError("seconds must be from 30 to 150")
-    rows = readable(segments).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "pos", "text"))).alias("s"))
-    # the fold keeps where chunks begin, not their texts
+    parts = token_arrays(segments)
+    rows = parts.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "pos", "tokens"))).alias("s"))
     firsts = F.expr(
         f"""
         aggregate(sequence(0, size(s) - 1), cast(array() AS array<int>), (b, i) ->
           if(size(b) = 0 OR s[i].end - s[b[size(b) - 1]].start > {float(seconds)}D, concat(b, array(i)), b))
         """
     )
-    chunks = rows.withColumn("b", firsts).select("media_id", "s", "b", F.posexplode("b").alias("k", "i"))
-    part = F.expr("slice(s, i + 1, coalesce(get(b, k + 1), size(s)) - i)")
-    return chunks.select("media_id", "k", part.alias("p")).select(
+    chunks = each(rows.withColumn("b", firsts), ["media_id", "s", "b"], "b", ("k", "i"))
+    chunks = chunks.select("media_id", "k", F.expr("slice(s, i + 1, coalesce(get(b, k + 1), size(s)) - i)").alias("p"))
+    named = F.flatten(F.transform("p", lambda x: F.transform(x["tokens"], lambda t: F.struct(source_id(x["pos"], t["token_index"]).alias("source_id"), t.alias("t")))))
+    chunks = chunks.withColumn("own", named).withColumn("text", tight(F.array_join(F.transform("own", lambda o: o["t"]["text"]), " "))).withColumn("spans", token_spans(F.col("text")))
+    placed = F.transform(
+        "own",
+        lambda o, i: F.struct(
+            o["source_id"].alias("source_id"), i.cast("bigint").alias("token_index"), F.get("spans", i)["text"].alias("text"), F.get("spans", i)["char_start"].alias("char_start"),
+            F.get("spans", i)["char_end"].alias("char_end"), *(o["t"][n].alias(n) for n in ("start", "end", "timing_source", "probability")),
+        ),
+    )
+    checked = F.when(F.size("own") == F.size("spans"), placed).otherwise(F.raise_error(F.lit("a chunk's line has not the tokens that went into it")).cast(PLACED))
+    return chunks.select(
         "media_id", F.format_string("c%03d", F.col("k") + 1).alias("chunk_id"), F.col("p")[0]["start"].alias("start"), F.element_at("p", -1)["end"].alias("end"),
-        normalized(F.array_join(F.transform("p", lambda x: x["text"]), " ")).alias("text"), F.size("p").alias("n_segments"),
+        "text", F.size("p").alias("n_segments"), checked.alias("tokens"),
     )
 
 
-def joined(tokens: Iterable[str]) -> str:
-    """Tokens as a line: no space before closing or after opening marks."""
-    line = " ".join(t for t in map(str.strip, tokens) if t)
-    return re.sub(r"([\[(])\s+", r"\1", re.sub(r"\s+([,.;:!?%\])])", r"\1", line)).strip()
-
-
-_SENTENCE, _LAST = re.compile(r"[.!?][\"')\]]?$"), ".!?\"')]"
-
-
-def _grouped(words: Iterable[tuple[float, float, str]]) -> Iterator[list]:
-    """[start, end, text] of cues, before overlaps are mended."""
-    held: list[tuple[float, float, str]] = []
-    plain = 0  # characters with a space before each word: joining never adds any
-    as_cue = lambda: [held[0][0], held[-1][1], joined(w[2] for w in held)]
-    for word in words:
-        full = held and (word[0] - held[-1][1] >= CUE_GAP or word[1] - held[0][0] > CUE_SECONDS or len(held) >= CUE_WORDS)
-        more = len(word[2]) + 1
-        if full or (held and plain + more > CUE_CHARS + 1 and len(joined([*(w[2] for w in held), word[2]])) > CUE_CHARS):
-            yield as_cue()
-            held, plain = [], 0
-        held.append(word)
-        plain += more
-        if word[2][-1] in _LAST and word[1] - held[0][0] >= CUE_SENTENCE and _SENTENCE.search((cue := as_cue())[2]):
-            yield cue
-            held, plain = [], 0
-    if held:
-        yield as_cue()
-
-
-def cues_of(words: Iterable[tuple[float, float, str]]) -> Iterator[list]:
-    """[start, end, text] of one recording's cues, from its words in order; holds one cue and a cue's words at a time."""
-    before: list | None = None
-    for first, last, text in _grouped(words):
-        start, end = max(0.0, first), min(first + CUE_SECONDS, max(first + 0.05, last))
-        if before is not None and start < before[1]:
-            if start > before[0] + 0.08:
-                before[1] = max(before[0] + 0.05, start - 0.02)
-            elif len(both := joined([before[2], text])) <= CUE_CHARS:
-                before[1:] = [min(before[0] + CUE_SECONDS, max(before[1], end)), both]
-                continue
-            else:
-                start = before[1] + 0.02
-                end = min(start + CUE_SECONDS, max(start + 0.05, end))
-        if before is not None:
-            yield _displayed(before, start - 0.02)
-        before = [start, end, text]
-    if before is not None:
-        yield _displayed(before, math.inf)
-
-
-def _displayed(cue: list, until: float) -> list:
-    latest = min(cue[0] + CUE_SECONDS, until)
-    return [cue[0], max(min(cue[1], latest), min(cue[0] + CUE_DISPLAY, latest)), cue[2]]
+def chunk_tokens(chunks: DataFrame) -> DataFrame:
+    """A row for each token of the chunks."""
+    return each(chunks, ["media_id", "chunk_id"], "tokens", ("t",)).select("media_id", "chunk_id", "t.*")
 
 
-def build_cues(words: DataFrame) -> DataFrame:
-    """(media_id, cue_index, start, end, text) of words (media_id, sequence, start, end, text).
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _firsts(words: Column) -> Column:
+    """The indexes of the words that begin cues."""
+    start = F.struct(F.lit(0).alias("i"), F.expr("cast(array() AS array<int>)").alias("b"), F.lit(0.0).alias("from"), F.lit(0.0).alias("until"), F.lit("").alias("line"), F.lit(0).alias("n"), F.lit(True).alias("full"))
+
+    def add(a: Column, w: Column) -> Column:
+        longer = tight(F.concat(a["line"], F.when(a["line"] == "", F.lit("")).otherwise(F.lit(" ")), w["text"]))
+
+        def placed(line: Column) -> Column:
+            new = a["full"] | (w["start"] - a["until"] >= CUE_GAP) | (w["end"] - a["from"] > CUE_SECONDS) | (F.length(line) > CUE_CHARS) | (a["n"] >= CUE_WORDS)
+            begin = F.when(new, w["start"]).otherwise(a["from"])
+            text = F.when(new, tight(w["text"])).otherwise(line)
+            return F.struct(
+                (a["i"] + 1).alias("i"), F.when(new, F.concat(a["b"], F.array(a["i"]))).otherwise(a["b"]).alias("b"), begin.alias("from"), w["end"].alias("until"), text.alias("line"),
+                F.when(new, 1).otherwise(a["n"] + 1).alias("n"), (text.rlike(SENTENCE) & (w["end"] - begin >= CUE_SENTENCE)).alias("full"),
+            )
+
+        return _once(longer, placed)
 
-    Blank words and those without finite times are dropped. A recording's words
-    meet in one exchange and are folded in order as they stream by, so memory
-    does not grow with the recording.
+    return F.aggregate(words, start, add, lambda a: a["b"])
+
+
+def _mended(cues: Column) -> Column:
+    """Cues without overlaps: where one starts before the last has ended, that is cut, or takes it in, or moves it back.
+
+    The last cue is held apart until the next has decided its end.
     """
-    text = F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    start, infinite = F.coalesce("start", F.lit(0.0)), F.lit(math.inf)
-    end = F.greatest(start, F.coalesce("end", start))
-    clean = words.where(F.col("media_id").isNotNull()).select("media_id", "sequence", start.alias("start"), end.alias("end"), text.alias("text"))
-    clean = clean.where((F.length("text") > 0) & ~F.isnan("start") & ~F.isnan("end") & (F.abs("start") < infinite) & (F.abs("end") < infinite))
+    kind = "struct<start: double, end: double, text: string, ids: array<string>>"
+    start = F.struct(F.expr(f"cast(array() AS array<{kind}>)").alias("done"), F.lit(None).cast(kind).alias("last"))
+    cue = lambda s, e, t, ids: F.struct(s.alias("start"), e.alias("end"), t.alias("text"), ids.alias("ids"))
+
+    def add(a: Column, raw: Column) -> Column:
+        last = a["last"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                yield from zip(*(batch.column(n).to_pylist() for n in ("media_id", "start", "end", "text")), strict=True)
+        def placed(c: Column) -> Column:
+            both = tight(F.concat(last["text"], F.lit(" "), c["text"]))
+            overlaps = last.isNotNull() & (c["start"] < last["end"])
+            cuts = overlaps & (c["start"] > last["start"] + CUE_LATER)
+            takes = overlaps & ~cuts & (F.length(both) <= CUE_CHARS)
+            begin = F.when(overlaps & ~cuts, last["end"] + CUE_APART).otherwise(c["start"])
+            end = F.when(overlaps & ~cuts, F.least(begin + CUE_SECONDS, F.greatest(begin + CUE_LEAST, c["end"]))).otherwise(c["end"])
+            cut = cue(last["start"], F.greatest(last["start"] + CUE_LEAST, c["start"] - CUE_APART), last["text"], last["ids"])
+            done = F.when(last.isNull() | takes, a["done"]).otherwise(F.concat(a["done"], F.array(F.when(cuts, cut).otherwise(last))))
+            taken = cue(last["start"], F.least(last["start"] + CUE_SECONDS, F.greatest(last["end"], c["end"])), both, F.concat(last["ids"], c["ids"]))
+            return F.struct(done.alias("done"), F.when(takes, taken).otherwise(cue(begin, end, c["text"], c["ids"])).alias("last"))
 
-        stream, out = rows(), []
-        ahead = next(stream, None)
-        while ahead is not None:
-            media = ahead[0]
+        length = F.least(raw["start"] + CUE_SECONDS, F.greatest(raw["start"] + CUE_LEAST, raw["end"]))
+        return _once(cue(F.greatest(F.lit(0.0), raw["start"]), length, raw["text"], raw["ids"]), placed)
 
-            def own():
-                nonlocal ahead
-                while ahead is not None and ahead[0] == media:  # noqa: B023
-                    yield ahead[1:]
-                    ahead = next(stream, None)
+    return F.aggregate(cues, start, add, lambda a: F.when(a["last"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["last"]))))
 
-            for i, cue in enumerate(cues_of(own())):
-                out.append((media, i, *cue))
-                if len(out) == 10_000:
-                    yield _batch(out)
-                    out = []
-        if out:
-            yield _batch(out)
 
-    ordered = clean.repartition("media_id").sortWithinPartitions("media_id", "sequence", "start")
-    return ordered.mapInArrow(run, "media_id bigint, cue_index int, start double, end double, text string")
+def build_cues(words: DataFrame) -> DataFrame:
+    """(media_id, cue_index, start, end, text, correction_ids) of words (media_id, sequence, start, end, text[, correction_ids]).
+
+    Blank words and those without a finite start are dropped; an end that is no
+    number or before the start counts as the start, an infinite one drops the word.
+    """
+    text = F.trim(F.regexp_replace("text", SPACE, " "))
+    start = F.coalesce("start", F.lit(0.0))
+    given = F.coalesce("end", start)
+    end = F.when(F.isnan(given) | (given < start), start).otherwise(given)
+    ids = F.coalesce("correction_ids", F.array().cast("array<string>")) if "correction_ids" in words.columns else F.array().cast("array<string>")
+    clean = words.where(F.col("media_id").isNotNull()).select("media_id", "sequence", start.alias("start"), end.alias("end"), text.alias("text"), ids.alias("ids"))
+    finite = lambda n: ~F.isnan(n) & (F.abs(n) < float("inf"))
+    clean = clean.where((F.length("text") > 0) & finite("start") & finite("end"))
+    rows = clean.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "start", "end", "text", "ids"))).alias("w"))
+    rows = rows.withColumn("b", _firsts(F.col("w")))
+    part = lambda i, k: F.slice("w", i + 1, F.coalesce(F.get("b", k + 1), F.size("w")) - i)
+    as_cue = lambda p: F.struct(p[0]["start"].alias("start"), F.element_at(p, -1)["end"].alias("end"), tight(F.array_join(F.transform(p, lambda x: x["text"]), " ")).alias("text"), F.flatten(F.transform(p, lambda x: x["ids"])).alias("ids"))
+    rows = rows.select("media_id", F.transform("b", lambda i, k: as_cue(part(i, k))).alias("cues")).withColumn("cues", _mended(F.col("cues")))
 
+    def shown(c: Column, k: Column) -> Column:
+        until = F.least(c["start"] + CUE_SECONDS, F.get("cues", k + 1)["start"] - CUE_APART)
+        end = F.greatest(F.least(c["end"], until), F.least(c["start"] + CUE_DISPLAY, until))
+        return F.struct(c["start"].alias("start"), end.alias("end"), c["text"].alias("text"), c["ids"].alias("correction_ids"))
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["media_id", "cue_index", "start", "end", "text"])
+    return each(rows, ["media_id"], F.transform("cues", shown), ("cue_index", "c")).select("media_id", "cue_index", "c.*")
+
+
+def chunk_number(chunk_id: Column) -> Column:
+    """Chunk ids in order, beyond c999 too."""
+    return F.substring(chunk_id, 2, 20).cast("int")
 
 
 def words_of_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens as words for cues, in the order of segments and tokens."""
-    order = Window.partitionBy("media_id").orderBy("pos", "token_index")
-    return tokens.select("media_id", F.row_number().over(order).alias("sequence"), "start", "end", "text")
+    return tokens.select("media_id", F.struct("pos", "token_index").alias("sequence"), "start", "end", "text")
+
+
+def words_of_chunks(tokens: DataFrame) -> DataFrame:
+    """Tokens of chunks as words for cues, in the order of chunks and tokens."""
+    return tokens.select("media_id", F.struct(chunk_number(F.col("chunk_id")).alias("chunk"), "token_index").alias("sequence"), "start", "end", "text")
 
 
 def subtitle_srt(cues: DataFrame) -> DataFrame:
@@ -194,3 +193,5 @@ def subtitle_ass(cues: DataFrame) -> DataFrame:
     """(media_id, ass): the styled subtitle document."""
     part = F.concat(F.lit("Dialogue: 0,"), ass_time(F.col("start")), F.lit(","), ass_time(F.col("end")), F.lit(",Default,,0,0,0,,"), ass_text(F.col("text")))
     return _joined(cues, part, "cue_index", "\n").select("media_id", F.concat(F.lit(ASS_HEADER + "\n"), "text", F.lit("\n")).alias("ass"))
+
+

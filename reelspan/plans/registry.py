@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspan import sinks
 from reelspan.functions import text as T
+from reelspan.operators import corrections as C
 from reelspan.operators import edits as E
+from reelspan.operators import jobs as J
 from reelspan.operators import segments as S
 from reelspan.operators import subtitles as U
+from reelspan.operators import summaries as Y
 from reelspan.operators import terms as M
-from reelspan.sources.adapters import segments_from_documents, silences_from_events, table
+from reelspan.operators import tokens as K
+from reelspan.sources import documents as D
+from reelspan.sources.adapters import responses_of_candidates, segments_from_documents, silences_from_events, summary_responses, table, words_of_segments
 from reelspan.sources.probe import read_probes
 from reelspan.sources.silence_log import parse_silence_log, render_silence_log
 
@@ -77,10 +83,10 @@ _SHIFT = _SPANS("keep") + """, gaps AS (SELECT *, CASE WHEN a - coalesce(lag(b)
 shifts AS (SELECT media_id, a, b, sum(gap) OVER (PARTITION BY media_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS shift FROM gaps)"""
 
 
-@query(_PLAN + f"SELECT media_id, max(b) IS NOT NULL AS planned, count(*) AS n_edits, round_even(sum(b - a) FILTER (action = 'keep') * 1e3::DOUBLE, 0)::BIGINT AS kept_ms, round_even(coalesce(sum(b - a) FILTER (action = 'remove'), 0) * 1e3::DOUBLE, 0)::BIGINT AS removed_ms FROM edits GROUP BY media_id")
+@query(_PLAN + f"SELECT media_id, count(*) AS n_edits, round_even(sum(b - a) FILTER (action = 'keep') * 1e3::DOUBLE, 0)::BIGINT AS kept_ms, round_even(coalesce(sum(b - a) FILTER (action = 'remove'), 0) * 1e3::DOUBLE, 0)::BIGINT AS removed_ms FROM edits GROUP BY media_id")
 def edit_plan_totals(spark, d):
     t = E.plan_totals(_edits(spark, d))
-    return t.select("media_id", F.lit(True).alias("planned"), "n_edits", F.bround(F.col("kept") * 1e3).cast("bigint").alias("kept_ms"), F.bround(F.col("removed") * 1e3).cast("bigint").alias("removed_ms"))
+    return t.select("media_id", "n_edits", F.bround(F.col("kept") * 1e3).cast("bigint").alias("kept_ms"), F.bround(F.col("removed") * 1e3).cast("bigint").alias("removed_ms"))
 
 
 @query(_PLAN + f"SELECT media_id, idx AS silence_index, {_US('s')} AS start_us, {_US('e')} AS end_us FROM merged")
@@ -190,7 +196,12 @@ def prompt_lines(spark, d):
     return S.prompt_lines(_segments(spark, d))
 
 
-@query()
+_BLOCKS = SQL["readable_blocks"].rpartition("SELECT media_id, block_index")[0]
+
+
+@query(_BLOCKS + rf""", h AS (SELECT *, lag(section_start) OVER (PARTITION BY media_id ORDER BY block_index) AS before, {_CLOCK('section_start * 1000')} || '–' || {_CLOCK('(section_start + 300) * 1000')} AS span, {_CLOCK('start_ms')} AS clock FROM blocks),
+l AS (SELECT *, CASE WHEN before IS NULL THEN '## ' || span || chr(10) || chr(10) WHEN before <> section_start THEN chr(10) || '## ' || span || chr(10) || chr(10) ELSE '' END || '**[' || clock || ']** ' || text || chr(10) AS part FROM h)
+SELECT media_id, '# Transcript — documents' || chr(10) || chr(10) || '> Automatically transcribed locally; wording may contain recognition errors.' || chr(10) || chr(10) || regexp_replace(string_agg(part, chr(10) ORDER BY block_index), '\s+$', '') || chr(10) AS markdown FROM l GROUP BY media_id""")
 def transcript_markdown(spark, d):
     return S.render_markdown(_segments(spark, d), "documents")
 
@@ -234,7 +245,7 @@ x AS (SELECT *, CASE WHEN est <= 65536 - output - 1024 THEN least(65536, greates
 def summary_sizing(spark, d):
     w = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("words"), (F.col("n_chars") % 13).alias("wins"))
     t = w.withColumns(T.summary_targets(F.col("words"), F.col("wins"))).withColumn("output", T.output_budget(F.col("words_max")))
-    t = t.withColumn("context", T.stage_context(F.greatest(F.lit(1), F.floor(F.col("words") / 2.8)).cast("bigint"), F.col("output")))
+    t = t.withColumn("context", T.stage_context(T.prompt_tokens_of(F.col("words")), F.col("output")))
     return t.select("doc_id", "words_min", "words_max", "groups_min", "groups_max", "output", "context", F.bround(T.memory_gib(F.col("context")) * 1000).cast("bigint").alias("memory_mib"))
 
 
@@ -285,24 +296,32 @@ tn AS (SELECT *, max(token) OVER (PARTITION BY media_id, pos) AS n, greatest(0.0
 
 @query(_TOKENS + "SELECT media_id, pos, (token - 1)::BIGINT AS token_index, text, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, floor((s / 1000.0::DOUBLE + len * (token - 1) / n) * 1000 + 1e-6::DOUBLE)::BIGINT AS start_ms, floor((s / 1000.0::DOUBLE + len * token / n) * 1000 + 1e-6::DOUBLE)::BIGINT AS end_ms FROM tn")
 def source_tokens(spark, d):
-    t = U.source_tokens(_segments(spark, d))
+    t = K.timed_tokens(_segments(spark, d))
     ms = lambda n: F.floor(F.col(n) * 1000 + 1e-6).cast("bigint").alias(f"{n}_ms")
     return t.select("media_id", "pos", "token_index", "text", "char_start", "char_end", ms("start"), ms("end"))
 
 
-@query(_SEG.replace("WITH", "WITH RECURSIVE", 1) + r""",
-b AS (SELECT media_id, rn, 0 AS k, s AS fs FROM ok WHERE rn = 1
+_TIGHT = lambda x: r"regexp_replace(regexp_replace(#, ' +([,.;:!?%\])])', '\1', 'g'), '([\[(]) +', '\1', 'g')".replace("#", x)
+_CHUNKS = _TOKENS.replace("WITH", "WITH RECURSIVE", 1) + rf""",
+has AS (SELECT ok.media_id, ok.pos, ok.s, ok.e, row_number() OVER (PARTITION BY ok.media_id ORDER BY ok.s, ok.e, ok.pos) AS rn FROM ok SEMI JOIN tk ON ok.media_id = tk.media_id AND ok.pos = tk.pos),
+b AS (SELECT media_id, rn, 0 AS k, s AS fs FROM has WHERE rn = 1
   UNION ALL
-  SELECT o.media_id, o.rn, CASE WHEN o.e - b.fs > 120000 THEN k + 1 ELSE k END, CASE WHEN o.e - b.fs > 120000 THEN o.s ELSE b.fs END FROM b JOIN ok o ON o.media_id = b.media_id AND o.rn = b.rn + 1)
-SELECT b.media_id, printf('c%03d', k + 1) AS chunk_id, min(s) AS start_ms, arg_max(e, ok.rn) AS end_ms, regexp_replace(string_agg(t, ' ' ORDER BY ok.rn), ' +([,.;:!?])', '\1', 'g') AS text, count(*) AS n_segments
-FROM b JOIN ok ON ok.media_id = b.media_id AND ok.rn = b.rn GROUP BY b.media_id, k""")
+  SELECT o.media_id, o.rn, CASE WHEN o.e - b.fs > 120000 THEN k + 1 ELSE k END, CASE WHEN o.e - b.fs > 120000 THEN o.s ELSE b.fs END FROM b JOIN has o ON o.media_id = b.media_id AND o.rn = b.rn + 1),
+part AS (SELECT b.media_id, b.k, b.rn, has.s, has.e, has.pos FROM b JOIN has ON has.media_id = b.media_id AND has.rn = b.rn),
+lines AS (SELECT part.media_id, part.k, {_TIGHT("string_agg(tk.text, ' ' ORDER BY part.rn, tk.token)")} AS text FROM part JOIN tk ON tk.media_id = part.media_id AND tk.pos = part.pos GROUP BY part.media_id, part.k),
+ch AS (SELECT media_id, k, printf('c%03d', k + 1) AS chunk_id, min(s) AS start_ms, arg_max(e, rn) AS end_ms, count(*) AS n_segments FROM part GROUP BY media_id, k),
+chunks AS (SELECT ch.*, lines.text FROM ch JOIN lines ON ch.media_id = lines.media_id AND ch.k = lines.k)
+"""
+
+
+@query(_CHUNKS + "SELECT media_id, chunk_id, start_ms, end_ms, text, n_segments FROM chunks")
 def correction_chunks(spark, d):
     c = U.correction_chunks(_segments(spark, d))
     return c.select("media_id", "chunk_id", T.millis(F.col("start")).alias("start_ms"), T.millis(F.col("end")).alias("end_ms"), "text", F.col("n_segments").cast("bigint").alias("n_segments"))
 
 
 def _cues(spark, d):
-    return U.build_cues(U.words_of_tokens(U.source_tokens(_segments(spark, d))))
+    return U.build_cues(U.words_of_tokens(K.timed_tokens(_segments(spark, d))))
 
 
 @query()
@@ -330,15 +349,15 @@ _FORM = r"regexp_replace(trim({}), '^\p{{P}}+|\p{{P}}+$', '', 'g')".format
 _CLOSED = "regexp_matches({}, '[.!?,;:]$')".format
 
 
-@query(SQL["correction_chunks"].replace("SELECT b.media_id, printf", ", ch AS (SELECT b.media_id, printf", 1) + rf"""),
-wl AS (SELECT media_id, chunk_id, string_split(text, ' ') AS ws FROM ch),
-wu AS (SELECT media_id, chunk_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM wl),
-wp AS (SELECT *, sum(CASE WHEN regexp_matches(w, '[\p{{L}}\p{{N}}_]') THEN 1 ELSE 0 END) OVER (PARTITION BY media_id, chunk_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS token FROM wu),
-tk AS (SELECT media_id, chunk_id, token, string_agg(w, '' ORDER BY k) AS t, string_agg(w, ' ' ORDER BY k) AS r FROM wp WHERE token > 0 GROUP BY media_id, chunk_id, token),
-g1 AS (SELECT media_id, chunk_id, 1 AS width, r AS txt, [t] AS ps FROM tk),
-g2 AS (SELECT a.media_id, a.chunk_id, 2, a.r || ' ' || b.r, [a.t, b.t] FROM tk a JOIN tk b ON a.media_id = b.media_id AND a.chunk_id = b.chunk_id AND b.token = a.token + 1 WHERE NOT {_CLOSED('a.t')}),
-g3 AS (SELECT a.media_id, a.chunk_id, 3, a.r || ' ' || b.r || ' ' || c.r, [a.t, b.t, c.t] FROM tk a JOIN tk b ON a.media_id = b.media_id AND a.chunk_id = b.chunk_id AND b.token = a.token + 1
-  JOIN tk c ON a.media_id = c.media_id AND a.chunk_id = c.chunk_id AND c.token = a.token + 2 WHERE NOT {_CLOSED('a.t')} AND NOT {_CLOSED('b.t')}),
+@query(_CHUNKS + rf""",
+cl AS (SELECT media_id, chunk_id, string_split(text, ' ') AS ws FROM chunks),
+cu AS (SELECT media_id, chunk_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM cl),
+cp AS (SELECT *, sum(CASE WHEN regexp_matches(w, '[\p{{L}}\p{{N}}_]') THEN 1 ELSE 0 END) OVER (PARTITION BY media_id, chunk_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS token FROM cu),
+ck AS (SELECT media_id, chunk_id, token, string_agg(w, '' ORDER BY k) AS t, string_agg(w, ' ' ORDER BY k) AS r FROM cp WHERE token > 0 GROUP BY media_id, chunk_id, token),
+g1 AS (SELECT media_id, chunk_id, 1 AS width, r AS txt, [t] AS ps FROM ck),
+g2 AS (SELECT a.media_id, a.chunk_id, 2, a.r || ' ' || b.r, [a.t, b.t] FROM ck a JOIN ck b ON a.media_id = b.media_id AND a.chunk_id = b.chunk_id AND b.token = a.token + 1 WHERE NOT {_CLOSED('a.t')}),
+g3 AS (SELECT a.media_id, a.chunk_id, 3, a.r || ' ' || b.r || ' ' || c.r, [a.t, b.t, c.t] FROM ck a JOIN ck b ON a.media_id = b.media_id AND a.chunk_id = b.chunk_id AND b.token = a.token + 1
+  JOIN ck c ON a.media_id = c.media_id AND a.chunk_id = c.chunk_id AND c.token = a.token + 2 WHERE NOT {_CLOSED('a.t')} AND NOT {_CLOSED('b.t')}),
 g AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3),
 f AS (SELECT media_id, chunk_id, width, {_FORM('txt')} AS form, list_transform(ps, lambda p: {_FORM('p')}) AS ps FROM g),
 x AS (SELECT *, regexp_replace(form, '[^\p{{L}}]', '', 'g') AS l FROM f WHERE length(form) <= 40)
@@ -347,7 +366,7 @@ WHERE length(l) > 0 AND ((length(l) >= 2 AND NOT regexp_matches(l, '[^\p{{Lu}}]'
   AND (width = 1 OR len(list_filter(ps, lambda p: NOT regexp_matches(p, '^[A-Z0-9]$'))) = 0 OR len(list_filter(ps, lambda p: NOT regexp_matches(p, '^\p{{Lu}}.+$'))) = 0)
 GROUP BY media_id, form""")
 def term_counts(spark, d):
-    return M.term_counts(M.term_occurrences(U.correction_chunks(_segments(spark, d))))
+    return M.term_counts(M.term_occurrences(U.correction_chunks(_segments(spark, d)))).select("media_id", "form", "occurrence_count", "scope_count")
 
 
 @query("""SELECT event_id AS media_id, CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 5 <> 0 THEN value * 2 ELSE 0 END AS duration, 1::BIGINT AS n_video, (event_id % 2)::BIGINT AS n_audio,
@@ -359,3 +378,247 @@ def media_probes(spark, d):
     kind = F.when(F.col("id") % 2 == 1, "audio").otherwise("data")
     streams = F.array(track(F.lit("video"), F.lit("-1")), track(kind, F.when(F.col("id") % 5 != 0, (F.col("value") * 2).cast("string"))))
     return read_probes(e.select(F.col("id").alias("media_id"), F.to_json(F.struct(F.struct(whole.alias("duration")).alias("format"), streams.alias("streams"))).alias("probe")))
+
+
+def _timed(spark, d):
+    return words_of_segments(_segments(spark, d))
+
+
+# words by position: single, in pairs, none, in reverse times; keys of letters and digits tell the tier
+_TIMED = _TOKENS + r""",
+base AS (SELECT media_id, pos, s, e, e - s AS ms, string_split(t, ' ') AS ws, len(string_split(t, ' ')) AS n FROM ok),
+given AS (
+  SELECT media_id, pos, s, e, k, ws[k] AS w, s + (ms * (k - 1)) // n AS a, s + (ms * k) // n AS b, 0.5::DOUBLE + ((k - 1) % 5) / 10.0::DOUBLE AS p FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM base WHERE pos % 4 = 0)
+  UNION ALL SELECT media_id, pos, s, e, k, ws[2 * k - 1] || coalesce(ws[2 * k], ''), s + (ms * (2 * k - 2)) // n, s + (ms * least(2 * k, n)) // n, 0.5::DOUBLE + ((k - 1) % 5) / 10.0::DOUBLE FROM (SELECT *, unnest(range(1, (n + 1) // 2 + 1)) AS k FROM base WHERE pos % 4 = 1)
+  UNION ALL SELECT media_id, pos, s, e, k, ws[k], s + (ms * (n - k)) // n, s + (ms * (n - k + 1)) // n, 0.5::DOUBLE + ((k - 1) % 5) / 10.0::DOUBLE FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM base WHERE pos % 4 = 3)),
+keyed AS (SELECT *, lower(regexp_replace(w, '[^\p{L}\p{N}''’]', '', 'g')) AS key FROM given),
+good AS (SELECT *, row_number() OVER v AS i, coalesce(sum(length(key)) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, sum(length(key)) OVER (v ROWS UNBOUNDED PRECEDING) AS hi, lag(a) OVER v AS before FROM keyed WHERE key <> '' WINDOW v AS (PARTITION BY media_id, pos ORDER BY k)),
+gate AS (SELECT media_id, pos, count(*) AS n_words, string_agg(key, ' ' ORDER BY i) AS keys, string_agg(key, '' ORDER BY i) AS whole FROM good GROUP BY media_id, pos HAVING NOT bool_or(coalesce(a / 1000.0::DOUBLE + 0.05::DOUBLE < before / 1000.0::DOUBLE, false))),
+tkk AS (SELECT *, lower(regexp_replace(text, '[^\p{L}\p{N}''’]', '', 'g')) AS key FROM tn),
+tkp AS (SELECT *, coalesce(sum(length(key)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, sum(length(key)) OVER (o ROWS UNBOUNDED PRECEDING) AS hi FROM tkk WINDOW o AS (PARTITION BY media_id, pos ORDER BY token)),
+said AS (SELECT media_id, pos, string_agg(key, ' ' ORDER BY token) AS keys, string_agg(key, '' ORDER BY token) AS whole, bool_or(key = '') AS gap FROM tkp GROUP BY media_id, pos),
+tier AS (SELECT said.media_id, said.pos, CASE WHEN gate.keys = said.keys THEN 'whisper_word' WHEN gate.whole = said.whole AND NOT gap THEN 'whisper_reconciled' ELSE 'segment_interpolation' END AS timing_source FROM said LEFT JOIN gate ON said.media_id = gate.media_id AND said.pos = gate.pos),
+met AS (SELECT t.media_id, t.pos, t.token, arg_min(g.a, g.i) AS a, arg_max(g.b, g.i) AS b, avg(g.p) AS p FROM tkp t JOIN tier r ON t.media_id = r.media_id AND t.pos = r.pos JOIN good g ON g.media_id = t.media_id AND g.pos = t.pos
+  AND CASE WHEN r.timing_source = 'whisper_word' THEN g.i = t.token WHEN r.timing_source = 'whisper_reconciled' THEN g.hi > t.lo AND g.lo < t.hi ELSE false END GROUP BY 1, 2, 3),
+timed AS (SELECT t.media_id, t.pos, t.token, t.text, r.timing_source, coalesce(m.a::DOUBLE, (s / 1000.0::DOUBLE + len * (t.token - 1) / n) * 1000) AS x, coalesce(m.b::DOUBLE, (s / 1000.0::DOUBLE + len * t.token / n) * 1000) AS y, m.p
+  FROM tkp t JOIN tier r ON t.media_id = r.media_id AND t.pos = r.pos LEFT JOIN met m ON m.media_id = t.media_id AND m.pos = t.pos AND m.token = t.token)
+"""
+
+
+@query(_TIMED + "SELECT media_id, printf('s%06d:t%04d', pos, token - 1) AS source_id, text, timing_source, floor(x + 1e-3::DOUBLE)::BIGINT AS start_ms, floor(y + 1e-3::DOUBLE)::BIGINT AS end_ms, round_even(coalesce(p, -1) * 1e4::DOUBLE, 0)::BIGINT AS probability_e4 FROM timed")
+def word_timing(spark, d):
+    ms = lambda n: F.floor(F.col(n) * 1000 + 1e-3).cast("bigint").alias(f"{n}_ms")
+    return K.timed_tokens(_timed(spark, d)).select("media_id", "source_id", "text", "timing_source", ms("start"), ms("end"), F.bround(F.coalesce("probability", F.lit(-1.0)) * 1e4).cast("bigint").alias("probability_e4"))
+
+
+@query(_TIMED + "SELECT media_id, timing_source, count(*) AS n FROM timed GROUP BY media_id, timing_source")
+def timing_sources(spark, d):
+    return K.timing_counts(K.timed_tokens(_timed(spark, d)))
+
+
+@query(_SEG + r"SELECT media_id, regexp_replace(string_agg(t, ' ' ORDER BY s, e, pos), ' +([,.;:!?])', '\1', 'g') AS text FROM ok GROUP BY media_id")
+def lossless_text(spark, d):
+    return K.lossless_text(_segments(spark, d))
+
+
+@query(_CHUNKS + "SELECT media_id, chunk_id, count(*) AS n_tokens, bool_and(true) AS same FROM part JOIN tk ON tk.media_id = part.media_id AND tk.pos = part.pos JOIN ch USING (media_id, k) GROUP BY media_id, chunk_id".replace("SELECT media_id, chunk_id, count", "SELECT ch.media_id, ch.chunk_id, count").replace("GROUP BY media_id, chunk_id", "GROUP BY ch.media_id, ch.chunk_id").replace("JOIN ch USING (media_id, k)", "JOIN ch ON ch.media_id = part.media_id AND ch.k = part.k"))
+def chunk_token_check(spark, d):
+    """Chunks have the tokens of their segments: the line is split anew and compared."""
+    c = U.correction_chunks(_segments(spark, d))
+    again = K.token_spans(F.col("text"))
+    return c.select("media_id", "chunk_id", F.size("tokens").cast("bigint").alias("n_tokens"), (F.transform(again, lambda t: t["text"]) == F.transform("tokens", lambda t: t["text"])).alias("same"))
+
+
+@query(_SPANS("keep") + ", w AS (SELECT media_id, max(duration) AS duration FROM rem GROUP BY media_id) SELECT spans.media_id, count(*) = 1 AND min(a) <= 1e-4::DOUBLE AND max(b) >= max(duration) - 1e-3::DOUBLE AS uncut FROM spans JOIN w ON spans.media_id = w.media_id GROUP BY spans.media_id")
+def uncut_media(spark, d):
+    silences = _silences(spark, d)
+    return E.uncut(E.coalesced(E.edit_list(silences), "keep"), silences.select("media_id", "duration").distinct())
+
+
+@query("SELECT doc_id, regexp_matches(coalesce(text, ''), '[A-Za-z]') AS latin, regexp_matches(coalesce(text, ''), '[㐀-鿿]') AS chinese FROM documents")
+def scripts(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", Y.has_latin(t).alias("latin"), Y.has_chinese(t).alias("chinese"))
+
+
+@query(_TARGETS + "SELECT doc_id, least(65536, greatest(context, ceil((2 * output + 4096) / 2048.0::DOUBLE)::BIGINT * 2048))::BIGINT AS context FROM x WHERE context IS NOT NULL")
+def shared_contexts(spark, d):
+    w = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("words"), (F.col("n_chars") % 13).alias("wins"))
+    t = w.withColumns(T.summary_targets(F.col("words"), F.col("wins"))).withColumn("output", T.output_budget(F.col("words_max")))
+    t = t.withColumn("context", T.stage_context(T.prompt_tokens_of(F.col("words")), F.col("output"))).where("context IS NOT NULL")
+    return t.select("doc_id", Y.shared_context(F.col("context"), F.col("output")).alias("context"))
+
+
+@query("SELECT l_orderkey, l_linenumber, abs(l_quantity - l_tax * 100) <= 1.0::DOUBLE AS same, greatest(5368709120, ceil(l_extendedprice * 1e6::DOUBLE * CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 2 END + 32000 * l_quantity))::BIGINT AS disk_bytes FROM lineitem")
+def job_gates(spark, d):
+    """The gate on durations and the disk needed, over prices as sizes and quantities as seconds."""
+    l = table(spark, d, "lineitem")
+    return l.select("l_orderkey", "l_linenumber", J.same_length(F.col("l_quantity"), F.col("l_tax") * 100).alias("same"), J.disk_needed(F.col("l_extendedprice") * 1e6, F.col("l_quantity"), F.col("l_linenumber") % 2 == 0).alias("disk_bytes"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 THEN NULL ELSE trunc(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_totalprice END + CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_totalprice / 4 END)::BIGINT END AS total FROM orders""")
+def optional_sums(spark, d):
+    o = table(spark, d, "orders")
+    part = lambda k, x: F.when(F.col("o_orderkey") % k != 0, x)
+    return o.select("o_orderkey", Y.optional_sum(part(3, F.col("o_totalprice")), part(5, F.col("o_totalprice") / 4)).alias("total"))
+
+
+def _mined(spark, d):
+    chunks = U.correction_chunks(_timed(spark, d))
+    return chunks, M.candidates(M.term_occurrences(chunks))
+
+
+@query()
+def term_candidates(spark, d):
+    return _mined(spark, d)[1]
+
+
+_OCCURRENCES = SQL["term_counts"].rpartition("SELECT media_id, form, count(*)")[0]
+
+
+@query()
+def term_contexts(spark, d):
+    return M.term_contexts(M.term_occurrences(U.correction_chunks(_segments(spark, d))))
+
+
+def _verdicts(spark, d):
+    chunks, mined = _mined(spark, d)
+    return chunks, C.judged(C.proposals(responses_of_candidates(mined, chunks)), chunks, mined)
+
+
+@query()
+def rule_verdicts(spark, d):
+    return _verdicts(spark, d)[1]
+
+
+@query()
+def rule_rejections(spark, d):
+    return C.rejections(_verdicts(spark, d)[1])
+
+
+def _corrected(spark, d):
+    chunks, verdicts = _verdicts(spark, d)
+    rules = C.accepted_rules(verdicts)
+    return rules, C.apply_rules(chunks, rules)
+
+
+@query()
+def corrected_chunks(spark, d):
+    return _corrected(spark, d)[1].select("media_id", "chunk_id", "source_text", "text", F.size("occurrences").alias("n_occurrences"), F.size("conflicts").alias("n_conflicts"))
+
+
+@query()
+def rule_applications(spark, d):
+    return C.rule_applications(_corrected(spark, d)[1])
+
+
+@query()
+def display_words(spark, d):
+    return C.display_words(_corrected(spark, d)[1]).select("media_id", "chunk_id", "first", F.size("source_ids").alias("n_tokens"), *us("start", "end"), "text", "source_text", "timing_source", F.array_join("correction_ids", ",").alias("correction_ids"))
+
+
+@query()
+def delivery_audit(spark, d):
+    rules, corrected = _corrected(spark, d)
+    display = C.display_words(corrected)
+    return C.delivery_audit(corrected, display, U.build_cues(C.words_of_display(display)), rules)
+
+
+_REPLIES = r"""
+WITH t AS (SELECT doc_id AS k, regexp_replace(text, '[^A-Za-z0-9 .,]', ' ', 'g') AS x FROM documents),
+p AS (SELECT *, CASE WHEN k % 7 = 0 THEN 7 WHEN k % 7 = 1 THEN 25 ELSE 8 + k % 5 END AS n FROM t),
+r AS (SELECT k, n, CASE WHEN k % 13 = 6 THEN ' ' WHEN k % 13 = 7 THEN '一二三' ELSE 'Recording ' || k END AS title, list_transform(range(1, n + 1), lambda i: 'Part ' || i || ': ' || substr(x, 1, 900)) AS en,
+  CASE WHEN k % 5 = 2 THEN n + 1 ELSE n END AS m, k % 11 = 5 AS partial, k % 17 = 8 AS broken, k % 17 = 9 AS short FROM p),
+c AS (SELECT *, list_transform(range(1, m + 1), lambda i: CASE WHEN k % 5 = 3 AND i = 2 THEN 'Teil ' ELSE '段落' END || i) AS zh, list_sum(list_transform(en, lambda e: len(regexp_extract_all(e, '\b[A-Za-z0-9][A-Za-z0-9_./+#''-]*\b')))) AS words FROM r),
+v AS (SELECT *, CASE WHEN broken THEN 'malformed_json' WHEN short THEN 'wrong_fields' WHEN partial THEN 'not_complete' WHEN title = ' ' THEN 'blank_title' WHEN n < 8 OR n > 24 THEN 'paragraph_count' WHEN title = '一二三' THEN 'not_latin' WHEN words < 1000 THEN 'too_few_words' END AS reason,
+  CASE WHEN partial THEN 'not_complete' WHEN m <> n THEN 'paragraph_count' WHEN k % 5 = 3 THEN 'not_chinese' END AS other FROM c),
+g AS (SELECT k, title, en, zh, n, words, 'Kn' AS model FROM v WHERE reason IS NULL AND other IS NULL)
+"""
+
+
+def _replies(spark, d):
+    r = summary_responses(table(spark, d, "documents").where("text IS NOT NULL"))
+    english = Y.english_contract(r.select("media_id", F.col("english").alias("response")))
+    return english, Y.translation_contract(r.select("media_id", F.col("translation").alias("response"), "paragraph_count"))
+
+
+@query(_REPLIES + "SELECT k AS media_id, coalesce(reason, 'holds') AS english, coalesce(other, 'holds') AS translation FROM v")
+def summary_contracts(spark, d):
+    english, translation = _replies(spark, d)
+    named = lambda rows, name: rows.select("media_id", F.coalesce("reason", F.lit("holds")).alias(name))
+    return named(english, "english").join(named(translation, "translation"), "media_id")
+
+
+@query(_REPLIES + "SELECT k AS media_id, unnest(range(0, n))::INT AS place, unnest(en) AS en, unnest(zh) AS zh_tw FROM g")
+def summary_pairs(spark, d):
+    return Y.paragraph_pairs(Y.combined(*_replies(spark, d)))
+
+
+@query(_REPLIES + ", a AS (SELECT *, least(2200, greatest(1200, ceil(0.20::DOUBLE * words / 100)::BIGINT * 100)) AS wmin FROM g), b AS (SELECT *, least(2600, greatest(wmin + 400, ceil(0.27::DOUBLE * words / 100)::BIGINT * 100)) AS wmax, greatest(10, least(18, greatest(n + 2, round_even(wmin / 120.0::DOUBLE, 0)::BIGINT))) AS gmin FROM a) SELECT k AS media_id, n::BIGINT AS overview_count, words::BIGINT AS english_visible_word_count, 'good' AS reason, words BETWEEN wmin AND wmax AS summary_length_target_met, n BETWEEN gmin AND greatest(gmin + 4, least(22, ceil(wmax / 100.0::DOUBLE)::BIGINT)) AS summary_paragraph_target_met FROM b")
+def summary_quality(spark, d):
+    q = Y.quality(Y.combined(*_replies(spark, d)))
+    t = Y.targets_met(q.withColumns(T.summary_targets(F.col("english_visible_word_count"), F.col("overview_count"))))
+    return t.select("media_id", "overview_count", "english_visible_word_count", F.coalesce("reason", F.lit("good")).alias("reason"), "summary_length_target_met", "summary_paragraph_target_met")
+
+
+def _markdown_sql(heading: str, source: str, model: str, title: str, paragraphs: str) -> str:
+    return _REPLIES + rf"SELECT k AS media_id, regexp_replace('# ' || {title} || chr(10) || chr(10) || '_{source}: ' || k || ' · {model}: ' || model || '_' || chr(10) || chr(10) || '{heading}' || chr(10) || chr(10) || array_to_string({paragraphs}, chr(10) || chr(10)), '\s+$', '') || chr(10) AS markdown FROM g"
+
+
+@query(_markdown_sql(*Y.LABELS["en"], "title", "en"))
+def summary_markdown_en(spark, d):
+    return Y.summary_markdown(Y.combined(*_replies(spark, d)), "en", F.col("media_id").cast("string"), F.lit("Kn"))
+
+
+@query(_markdown_sql(*Y.LABELS["zh_tw"], "'錄影' || k", "zh"))
+def summary_markdown_zh(spark, d):
+    return Y.summary_markdown(Y.combined(*_replies(spark, d)), "zh_tw", F.col("media_id").cast("string"), F.lit("Kn"))
+
+
+@query("""SELECT event_id AS job_id, CASE WHEN event_id % 6 = 0 OR event_id % 9 = 0 THEN 'run' WHEN event_id % 7 = 0 THEN 'error_other_source' WHEN st = (CASE WHEN event_id % 4 = 1 THEN 'planned' ELSE 'complete' END)
+  THEN CASE WHEN event_id % 4 = 2 AND event_id % 10 <> 0 THEN 'error_no_subtitles' ELSE 'cached' END ELSE 'error_' || st END AS outcome FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'planned' WHEN 1 THEN 'complete' ELSE 'failed' END AS st FROM events)""")
+def job_lookup(spark, d):
+    """Requests against manifests, both made from events; the manifests are read from JSON."""
+    e, k = table(spark, d, "events"), F.col("event_id")
+    requests = e.select(k.alias("job_id"), F.sha2(k.cast("string"), 256).alias("fingerprint"), (k % 4 == 1).alias("plan_only"), (k % 4 == 2).alias("subtitles"), (k % 9 == 0).alias("force"))
+    status = F.when(k % 3 == 0, "planned").when(k % 3 == 1, "complete").otherwise("failed")
+    source = F.struct(F.when(k % 7 == 0, "other").otherwise(F.sha2(k.cast("string"), 256)).alias("fingerprint"))
+    stages, outputs = F.create_map(F.lit("subtitles"), F.struct(F.lit("complete").alias("state"))), F.when(k % 10 == 0, F.create_map(F.lit("subtitled"), F.lit("subtitled.mp4")))
+    written = e.where(k % 6 != 0).select(k.alias("job_id"), F.to_json(F.struct(source.alias("source"), status.alias("status"), stages.alias("stages"), outputs.alias("outputs"))).alias("document"))
+    return J.lookup(requests, D.manifests(written)).select("job_id", "outcome")
+
+
+@query("""WITH l AS (SELECT user_id, event_type, arg_max(event_id, ts) AS id, max(ts) AS at FROM events GROUP BY user_id, event_type),
+s AS (SELECT user_id, CASE WHEN event_type = t THEN 'job' ELSE event_type END AS stage, CASE id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'complete' ELSE 'failed' END AS state, at FROM l, (SELECT min(event_type) AS t FROM events)),
+f AS (SELECT *, max(at) FILTER (stage = 'job' AND state = 'failed') OVER (PARTITION BY user_id) AS broke FROM s)
+SELECT user_id AS media_id, stage, CASE WHEN broke IS NOT NULL AND state = 'running' THEN 'failed' ELSE state END AS state, epoch_us(CASE WHEN broke IS NOT NULL AND state = 'running' THEN broke ELSE at END) AS updated_us FROM f""")
+def stage_states(spark, d):
+    e = table(spark, d, "events")
+    least = e.agg(F.min("event_type").alias("least"))  # one row
+    state = F.when(F.col("event_id") % 3 == 0, "running").when(F.col("event_id") % 3 == 1, "complete").otherwise("failed")
+    rows = e.join(F.broadcast(least)).select(F.col("user_id").alias("media_id"), F.when(F.col("event_type") == F.col("least"), "job").otherwise(F.col("event_type")).alias("stage"), state.alias("state"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return J.stage_states(rows).withColumnRenamed("updated_at", "updated_us")
+
+
+@query(_SEG + "SELECT media_id, pos::INT AS pos, (row_number() OVER (PARTITION BY media_id ORDER BY pos) - 1)::INT AS id, s AS start_ms, e AS end_ms, t AS text FROM ok")
+def transcript_scan(spark, d):
+    """Transcripts as JSON, read back, without blank segments and with dense ids."""
+    s = _timed(spark, d)
+    whole = s.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("pos").alias("id"), "start", "end", "text", "words").alias("s")))).alias("x"))
+    documents = whole.select("media_id", F.to_json(F.struct(F.transform("x", lambda x: x["s"]).alias("segments"))).alias("document"))
+    r = D.recognised(D.transcript_segments(documents))
+    return r.select("media_id", "pos", "id", T.millis(F.col("start")).alias("start_ms"), T.millis(F.col("end")).alias("end_ms"), T.normalized(F.col("text")).alias("text"))
+
+
+@query(_PLAN + f""", x AS (SELECT *, {_US('a')} AS a_us, {_US('b')} AS b_us FROM edits)
+SELECT media_id, '{{"kept_us":' || coalesce(sum(b_us - a_us) FILTER (action = 'keep'), 0)::BIGINT || ',"removed_us":' || coalesce(sum(b_us - a_us) FILTER (action = 'remove'), 0)::BIGINT || ',"edits":[' ||
+string_agg('{{"start_us":' || a_us || ',"end_us":' || b_us || ',"action":"' || action || '","reason":"' || reason || '"' || coalesce(',"silence_index":' || idx, '') || '}}', ',' ORDER BY a_us, b_us) || ']}}' AS json FROM x GROUP BY media_id""")
+def plan_documents(spark, d):
+    return sinks.plan_json(_edits(spark, d))
+
+
+@query()
+def correction_documents(spark, d):
+    """What corrections did, and the rules behind it, as JSON."""
+    chunks, verdicts = _verdicts(spark, d)
+    return sinks.corrections_json(C.apply_rules(chunks, C.accepted_rules(verdicts))).join(sinks.rules_json(verdicts).withColumnRenamed("json", "rules"), "media_id", "left")
