@@ -1,4 +1,4 @@
-"""How alike two short forms sound when read as letters: a ratio of matching blocks, in Arrow batches over distinct pairs."""
+"""How alike two short forms sound when read as letters: a ratio of matching blocks, in Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType
@@ -42,9 +42,3 @@ def compatibility_forms(words: Column, line: Column) -> Column:
     """The compatibility form of each word of a line; lines in ASCII have no other and don't leave the JVM."""
     other = line.rlike(r"[^\x00-\x7F]")
     return F.when(other, _compatible(F.when(other, words))).otherwise(words)
-
-
-def with_similarity(pairs: DataFrame, left: str, right: str, name: str = "similarity") -> DataFrame:
-    """The rows with the similarity of two columns, computed once for each distinct pair."""
-    known = pairs.select(F.col(left).alias("sim_left"), F.col(right).alias("sim_right")).distinct().withColumn(name, similarities("sim_left", "sim_right"))
-    return pairs.join(known, F.col(left).eqNullSafe(F.col("sim_left")) & F.col(right).eqNullSafe(F.col("sim_right")), "left").drop("sim_left", "sim_right")

@@ -19,13 +19,23 @@ def each(rows: DataFrame, keys: list, items, names: tuple[str, ...]) -> DataFram
 BLOCK = 128
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def running(sizes: Column, first: Column | int = 0) -> Column:
     """first, first + sizes[0], …: where each item begins, and where the last ends. In blocks, as a fold copies what it has gathered at each step."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(sizes), F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))
+    begin = F.lit(first) if isinstance(first, int) else first
     grow = lambda xs, x: F.aggregate(xs, F.array(x), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    ends = grow(F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda a, n: a + n)), F.lit(first) if isinstance(first, int) else first)
-    inner = F.zip_with(blocks, F.slice(ends, F.lit(1), F.size(blocks)), lambda xs, x: F.slice(grow(xs, x), F.lit(1), F.size(xs)))
-    return F.concat(F.flatten(inner), F.slice(ends, -1, 1))
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(xs), F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def placed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda a, n: a + n))
+        inner = lambda ends: F.zip_with(blocks, F.slice(ends, F.lit(1), F.size(blocks)), lambda xs, x: F.slice(grow(xs, x), F.lit(1), F.size(xs)))
+        return once(grow(totals, begin), lambda ends: F.concat(F.flatten(inner(ends)), F.slice(ends, -1, 1)))
+
+    return once(sizes, lambda xs: once(cut(xs), placed))
 
 
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -36,6 +46,11 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, SPACE, " ")), r" +([,.;:!?])", "$1"))
 
 
+def tight(line: Column) -> Column:
+    """Words joined by spaces as a line: no space before closing or after opening marks."""
+    return F.regexp_replace(F.regexp_replace(line, r" +([,.;:!?%\])])", "$1"), r"([\[(]) +", "$1")
+
+
 def micros(x: Column) -> Column:
     """Seconds as whole microseconds, half to even."""
     return F.bround(x * 1e6).cast("bigint")

@@ -1,8 +1,8 @@
 """Subtitles: correction chunks, cues and subtitle documents, per recording.
 
-Chunks and cues are greedy and anchored on their first member, so they are
-folds over a recording's array; a fold keeps where its groups begin, and texts
-are put together once from there.
+Chunks are greedy and anchored on their first member, so they are a fold over a
+recording's array; it keeps where chunks begin, and texts are put together once
+from there.
 """
 
 from __future__ import annotations
@@ -10,20 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.functions.text import SPACE, ass_text, ass_time, balanced_lines, each, timestamp
+from reelspan.functions.text import ass_text, ass_time, balanced_lines, each, tight, timestamp
+from reelspan.operators.cues import build_cues
 from reelspan.operators.segments import _joined
 from reelspan.operators.tokens import source_id, token_arrays, token_spans
 
+__all__ = ["build_cues", "chunk_number", "chunk_tokens", "correction_chunks", "subtitle_ass", "subtitle_srt", "words_of_chunks", "words_of_tokens"]
+
 #: Tokens of a chunk as a column.
 PLACED = "array<struct<source_id: string, token_index: bigint, text: string, char_start: int, char_end: int, start: double, end: double, timing_source: string, probability: double>>"
 
-#: Fixed values of cues: gap, most seconds, most characters, most words, least seconds of a sentence, least display.
-CUE_GAP, CUE_SECONDS, CUE_CHARS, CUE_WORDS, CUE_SENTENCE, CUE_DISPLAY = 0.65, 6.0, 78, 16, 1.0, 1.0
-#: Fixed values of overlaps: the least cue, the distance between cues, and how much later a cue starts that only cuts the one before.
-CUE_LEAST, CUE_APART, CUE_LATER = 0.05, 0.02, 0.08
-#: The end of a sentence.
-SENTENCE = r"""[.!?]["')\]]?$"""
-
 #: Fixed format of the styled subtitle document.
 ASS_HEADER = """[Script Info]
 ScriptType: v4.00+
@@ -40,11 +36,6 @@ Style: Default,DejaVu Sans,52,&H00FFFFFF,&H000000FF,&H00000000,&H80000000,-1,0,0
 Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"""
 
 
-def tight(line: Column) -> Column:
-    """Words joined by spaces as a line: no space before closing or after opening marks."""
-    return F.regexp_replace(F.regexp_replace(line, r" +([,.;:!?%\])])", "$1"), r"([\[(]) +", "$1")
-
-
 def correction_chunks(segments: DataFrame, seconds: float = 120.0) -> DataFrame:
     """(media_id, chunk_id, start, end, text, n_segments, tokens): greedy chunks; a longer segment is one by itself.
 
@@ -84,90 +75,6 @@ def chunk_tokens(chunks: DataFrame) -> DataFrame:
     return each(chunks, ["media_id", "chunk_id"], "tokens", ("t",)).select("media_id", "chunk_id", "t.*")
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _firsts(words: Column) -> Column:
-    """The indexes of the words that begin cues."""
-    start = F.struct(F.lit(0).alias("i"), F.expr("cast(array() AS array<int>)").alias("b"), F.lit(0.0).alias("from"), F.lit(0.0).alias("until"), F.lit("").alias("line"), F.lit(0).alias("n"), F.lit(True).alias("full"))
-
-    def add(a: Column, w: Column) -> Column:
-        longer = tight(F.concat(a["line"], F.when(a["line"] == "", F.lit("")).otherwise(F.lit(" ")), w["text"]))
-
-        def placed(line: Column) -> Column:
-            new = a["full"] | (w["start"] - a["until"] >= CUE_GAP) | (w["end"] - a["from"] > CUE_SECONDS) | (F.length(line) > CUE_CHARS) | (a["n"] >= CUE_WORDS)
-            begin = F.when(new, w["start"]).otherwise(a["from"])
-            text = F.when(new, tight(w["text"])).otherwise(line)
-            return F.struct(
-                (a["i"] + 1).alias("i"), F.when(new, F.concat(a["b"], F.array(a["i"]))).otherwise(a["b"]).alias("b"), begin.alias("from"), w["end"].alias("until"), text.alias("line"),
-                F.when(new, 1).otherwise(a["n"] + 1).alias("n"), (text.rlike(SENTENCE) & (w["end"] - begin >= CUE_SENTENCE)).alias("full"),
-            )
-
-        return _once(longer, placed)
-
-    return F.aggregate(words, start, add, lambda a: a["b"])
-
-
-def _mended(cues: Column) -> Column:
-    """Cues without overlaps: where one starts before the last has ended, that is cut, or takes it in, or moves it back.
-
-    The last cue is held apart until the next has decided its end.
-    """
-    kind = "struct<start: double, end: double, text: string, ids: array<string>>"
-    start = F.struct(F.expr(f"cast(array() AS array<{kind}>)").alias("done"), F.lit(None).cast(kind).alias("last"))
-    cue = lambda s, e, t, ids: F.struct(s.alias("start"), e.alias("end"), t.alias("text"), ids.alias("ids"))
-
-    def add(a: Column, raw: Column) -> Column:
-        last = a["last"]
-
-        def placed(c: Column) -> Column:
-            both = tight(F.concat(last["text"], F.lit(" "), c["text"]))
-            overlaps = last.isNotNull() & (c["start"] < last["end"])
-            cuts = overlaps & (c["start"] > last["start"] + CUE_LATER)
-            takes = overlaps & ~cuts & (F.length(both) <= CUE_CHARS)
-            begin = F.when(overlaps & ~cuts, last["end"] + CUE_APART).otherwise(c["start"])
-            end = F.when(overlaps & ~cuts, F.least(begin + CUE_SECONDS, F.greatest(begin + CUE_LEAST, c["end"]))).otherwise(c["end"])
-            cut = cue(last["start"], F.greatest(last["start"] + CUE_LEAST, c["start"] - CUE_APART), last["text"], last["ids"])
-            done = F.when(last.isNull() | takes, a["done"]).otherwise(F.concat(a["done"], F.array(F.when(cuts, cut).otherwise(last))))
-            taken = cue(last["start"], F.least(last["start"] + CUE_SECONDS, F.greatest(last["end"], c["end"])), both, F.concat(last["ids"], c["ids"]))
-            return F.struct(done.alias("done"), F.when(takes, taken).otherwise(cue(begin, end, c["text"], c["ids"])).alias("last"))
-
-        length = F.least(raw["start"] + CUE_SECONDS, F.greatest(raw["start"] + CUE_LEAST, raw["end"]))
-        return _once(cue(F.greatest(F.lit(0.0), raw["start"]), length, raw["text"], raw["ids"]), placed)
-
-    return F.aggregate(cues, start, add, lambda a: F.when(a["last"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["last"]))))
-
-
-def build_cues(words: DataFrame) -> DataFrame:
-    """(media_id, cue_index, start, end, text, correction_ids) of words (media_id, sequence, start, end, text[, correction_ids]).
-
-    Blank words and those without a finite start are dropped; an end that is no
-    number or before the start counts as the start, an infinite one drops the word.
-    """
-    text = F.trim(F.regexp_replace("text", SPACE, " "))
-    start = F.coalesce("start", F.lit(0.0))
-    given = F.coalesce("end", start)
-    end = F.when(F.isnan(given) | (given < start), start).otherwise(given)
-    ids = F.coalesce("correction_ids", F.array().cast("array<string>")) if "correction_ids" in words.columns else F.array().cast("array<string>")
-    clean = words.where(F.col("media_id").isNotNull()).select("media_id", "sequence", start.alias("start"), end.alias("end"), text.alias("text"), ids.alias("ids"))
-    finite = lambda n: ~F.isnan(n) & (F.abs(n) < float("inf"))
-    clean = clean.where((F.length("text") > 0) & finite("start") & finite("end"))
-    rows = clean.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "start", "end", "text", "ids"))).alias("w"))
-    rows = rows.withColumn("b", _firsts(F.col("w")))
-    part = lambda i, k: F.slice("w", i + 1, F.coalesce(F.get("b", k + 1), F.size("w")) - i)
-    as_cue = lambda p: F.struct(p[0]["start"].alias("start"), F.element_at(p, -1)["end"].alias("end"), tight(F.array_join(F.transform(p, lambda x: x["text"]), " ")).alias("text"), F.flatten(F.transform(p, lambda x: x["ids"])).alias("ids"))
-    rows = rows.select("media_id", F.transform("b", lambda i, k: as_cue(part(i, k))).alias("cues")).withColumn("cues", _mended(F.col("cues")))
-
-    def shown(c: Column, k: Column) -> Column:
-        until = F.least(c["start"] + CUE_SECONDS, F.get("cues", k + 1)["start"] - CUE_APART)
-        end = F.greatest(F.least(c["end"], until), F.least(c["start"] + CUE_DISPLAY, until))
-        return F.struct(c["start"].alias("start"), end.alias("end"), c["text"].alias("text"), c["ids"].alias("correction_ids"))
-
-    return each(rows, ["media_id"], F.transform("cues", shown), ("cue_index", "c")).select("media_id", "cue_index", "c.*")
-
-
 def chunk_number(chunk_id: Column) -> Column:
     """Chunk ids in order, beyond c999 too."""
     return F.substring(chunk_id, 2, 20).cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
-from reelspan.functions.text import each, normalized, running
+from reelspan.functions.text import each, normalized, once, running
 from reelspan.operators.segments import readable
 
 #: Fixed values of timing: how far a word may start before its predecessor, and the least length of a segment.
@@ -26,12 +26,15 @@ def token_spans(text: Column) -> Column:
     A word without a word character is joined to the token before it (whose end
     moves, while its text has no space), or dropped where there is none.
     """
-    written = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    # tokens are one space apart, so starts are running lengths, counted from what is dropped in front
-    total = F.aggregate(written, F.lit(0), lambda n, t: n + F.length(t) + 1)
-    starts = running(F.transform(written, lambda t: F.length(t) + 1), F.length(text) + 1 - total)
-    token = lambda t, at: F.struct(F.replace(t, F.lit(" "), F.lit("")).alias("text"), at.alias("char_start"), (at + F.length(t)).alias("char_end"))
-    return F.zip_with(written, F.slice(starts, F.lit(1), F.size(written)), token)
+
+    def placed(written: Column) -> Column:
+        # tokens are one space apart, so starts are running lengths, counted from what is dropped in front
+        total = F.aggregate(written, F.lit(0), lambda n, t: n + F.length(t) + 1)
+        starts = running(F.transform(written, lambda t: F.length(t) + 1), F.length(text) + 1 - total)
+        token = lambda t, at: F.struct(F.replace(t, F.lit(" "), F.lit("")).alias("text"), at.alias("char_start"), (at + F.length(t)).alias("char_end"))
+        return F.zip_with(written, F.slice(starts, F.lit(1), F.size(written)), token)
+
+    return once(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), placed)
 
 
 def folded(text: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -464,8 +465,9 @@ def optional_sums(spark, d):
 
 
 def _mined(spark, d):
-    chunks = U.correction_chunks(_timed(spark, d))
-    return chunks, M.candidates(M.term_occurrences(chunks))
+    # both are read several times
+    chunks = U.correction_chunks(_segments(spark, d)).persist(StorageLevel.DISK_ONLY)
+    return chunks, M.candidates(M.term_occurrences(chunks)).persist(StorageLevel.DISK_ONLY)
 
 
 @query()
