@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from reelspan.functions.text import fixed_micros
 from reelspan.operators.edits import filter_graph
-from reelspan.operators.terms import term_counts, term_occurrences
+from reelspan.operators.subtitles import PLACED
+from reelspan.operators.terms import candidates, term_counts, term_occurrences
 from reelspan.sources.probe import read_probes
 
 
@@ -32,7 +33,19 @@ def test_probes(spark):
 
 
 def test_terms(spark):
-    rows = [(1, "c001", "LOS runs on LOS, R O S and Cube Bars."), (1, "c002", "The LOS. Cube Bars again (R O S) with C++ 9"), (2, "c001", "plain words")]
-    got = {r.form: (r.occurrence_count, r.scope_count) for r in term_counts(term_occurrences(spark.createDataFrame(rows, "media_id long, chunk_id string, text string"))).collect()}
-    assert got["LOS"] == (3, 2) and got["R O S"] == (2, 2) and got["Cube Bars"] == (2, 2) and got["C++"] == (1, 1)
-    assert "plain" not in got and "LOS, R" not in got
+    said = [(1, "c001", "LOS runs on LOS, R O S and Cube Bars."), (1, "c002", "The LOS. Cube Bars again (R O S) with C++ 9"), (2, "c001", "plain words")]
+    rows = []
+    for media, chunk, text in said:
+        at, tokens = 0, []
+        for i, w in enumerate(text.split(" ")):
+            tokens.append((f"s:{i}", i, w, at, at + len(w), 0.0, 1.0, "x", 0.5 if w == "LOS" else None))
+            at += len(w) + 1
+        rows.append((media, chunk, text, tokens))
+    chunks = spark.createDataFrame(rows, f"media_id long, chunk_id string, text string, tokens {PLACED}")
+    found = term_occurrences(chunks)
+    got = {r.form: r for r in term_counts(found).collect()}
+    count = {f: (r.occurrence_count, r.scope_count) for f, r in got.items()}
+    assert count["LOS"] == (3, 2) and count["R O S"] == (2, 2) and count["Cube Bars"] == (2, 2) and count["C++"] == (1, 1)
+    assert "plain" not in got and "LOS, R" not in got and got["LOS"].average_probability == 0.5 and got["C++"].average_probability is None
+    best = {r.original: r for r in candidates(found, 8).where("media_id = 1").collect()}
+    assert best["LOS"].candidate_id == "t001" and [c.scope_id for c in best["LOS"].contexts] == ["c001", "c001", "c002"] and "R O S" in [v.text for v in best["LOS"].near_variants]
