@@ -54,7 +54,8 @@ def publish(documents: dict[str, DataFrame], path: str, text: Column | str = "te
     fs, top = _fs(spark, pending)
     try:
         for name, rows in documents.items():
-            rows.select("media_id", F.col(text).alias("value") if isinstance(text, str) else text.alias("value")).write.partitionBy("media_id").option("lineSep", "").text(f"{pending}/{name}")
+            value = F.col(text) if isinstance(text, str) else text  # a writer ends each text with a line feed of its own
+            rows.select("media_id", F.regexp_replace(value, r"\n\z", "").alias("value")).write.partitionBy("media_id").text(f"{pending}/{name}")
         for name in documents:
             _, target = _fs(spark, f"{path.rstrip('/')}/{name}")
             fs.delete(target, True)
