@@ -36,3 +36,28 @@ def test_short_runs_of_many_words_go(spark):
     assert gone[104] == {0} and not gone[105] and gone[101]
     left = {r.doc_id for r in P.line_dedup(spark, df.selectExpr("*", "length(text) AS n_chars"), "").collect()}
     assert left == {i for i in docs if len(gone[i]) < len(docs[i])}
+
+
+def test_one_row_of_a_group_stays(spark):
+    base, other = prose(200).split(), prose(200)
+    near = " ".join(["changed", *base[1:]])
+    rows = [(5, " ".join(base)), (5, " ".join(base)), (3, near), (9, " ".join(base)), (7, other), (None, other), (None, other), (None, None), (None, None), (11, None), (12, ""), (13, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS rep", "2 AS comp")
+    left = P.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == sorted([(3, near), (7, other), (-1, other), (-1, ""), (11, ""), (12, ""), (13, "")])
+    assert P.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_in_order(spark, tmp_path):
+    """run() keeps clean documents, and what the stages are there for goes."""
+    clean = {i: "\n".join(prose(40) for _ in range(4)) for i in range(40)}
+    phrase = prose(30)
+    lines = clean[4].split("\n")
+    near = "\n".join(["other " + lines[0][6:], lines[1], "other " + lines[2][6:], lines[3]])  # no equal run of three lines or 50 words
+    docs = clean | {100: clean[3], 101: near, 102: clean[5] + "\n" + phrase, 103: "x " * 300, 104: " | ".join(f"i{k}" for k in range(120))}
+    spark.createDataFrame([(i, t, "en", "hot" if i % 3 else "b", len(t)) for i, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, phrase)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(clean) and {r.doc_id: r.text for r in got} == clean
+    assert len({(r.mix_slot, r.mix_place) for r in got}) == len(got)
