@@ -485,7 +485,7 @@ def term_contexts(spark, d):
 
 def _verdicts(spark, d):
     chunks, mined = _mined(spark, d)
-    return chunks, C.judged(C.proposals(responses_of_candidates(mined, chunks)), chunks, mined)
+    return chunks, C.judged(C.proposals(responses_of_candidates(mined, chunks)), chunks, mined).persist(StorageLevel.DISK_ONLY)
 
 
 @query()
@@ -501,7 +501,7 @@ def rule_rejections(spark, d):
 def _corrected(spark, d):
     chunks, verdicts = _verdicts(spark, d)
     rules = C.accepted_rules(verdicts)
-    return rules, C.apply_rules(chunks, rules)
+    return rules, C.apply_rules(chunks, rules).persist(StorageLevel.DISK_ONLY)
 
 
 @query()
@@ -540,8 +540,9 @@ g AS (SELECT k, title, en, zh, n, words, 'Kn' AS model FROM v WHERE reason IS NU
 
 def _replies(spark, d):
     r = summary_responses(table(spark, d, "documents").where("text IS NOT NULL"))
-    english = Y.english_contract(r.select("media_id", F.col("english").alias("response")))
-    return english, Y.translation_contract(r.select("media_id", F.col("translation").alias("response"), "paragraph_count"))
+    # kept, as filters on reasons would otherwise be computed below, with all that they read
+    english = Y.english_contract(r.select("media_id", F.col("english").alias("response"))).persist(StorageLevel.DISK_ONLY)
+    return english, Y.translation_contract(r.select("media_id", F.col("translation").alias("response"), "paragraph_count")).persist(StorageLevel.DISK_ONLY)
 
 
 @query(_REPLIES + "SELECT k AS media_id, coalesce(reason, 'holds') AS english, coalesce(other, 'holds') AS translation FROM v")
@@ -590,10 +591,10 @@ def job_lookup(spark, d):
     return J.lookup(requests, D.manifests(written)).select("job_id", "outcome")
 
 
-@query("""WITH l AS (SELECT user_id, event_type, arg_max(event_id, ts) AS id, max(ts) AS at FROM events GROUP BY user_id, event_type),
-s AS (SELECT user_id, CASE WHEN event_type = t THEN 'job' ELSE event_type END AS stage, CASE id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'complete' ELSE 'failed' END AS state, at FROM l, (SELECT min(event_type) AS t FROM events)),
-f AS (SELECT *, max(at) FILTER (stage = 'job' AND state = 'failed') OVER (PARTITION BY user_id) AS broke FROM s)
-SELECT user_id AS media_id, stage, CASE WHEN broke IS NOT NULL AND state = 'running' THEN 'failed' ELSE state END AS state, epoch_us(CASE WHEN broke IS NOT NULL AND state = 'running' THEN broke ELSE at END) AS updated_us FROM f""")
+@query("""WITH l AS (SELECT user_id, event_type, arg_max(event_id, ts) AS id, max(ts) AS seen FROM events GROUP BY user_id, event_type),
+s AS (SELECT user_id, CASE WHEN event_type = t THEN 'job' ELSE event_type END AS stage, CASE id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'complete' ELSE 'failed' END AS state, seen FROM l, (SELECT min(event_type) AS t FROM events)),
+f AS (SELECT *, max(seen) FILTER (stage = 'job' AND state = 'failed') OVER (PARTITION BY user_id) AS broke FROM s)
+SELECT user_id AS media_id, stage, CASE WHEN broke IS NOT NULL AND state = 'running' THEN 'failed' ELSE state END AS state, epoch_us(CASE WHEN broke IS NOT NULL AND state = 'running' THEN broke ELSE seen END) AS updated_us FROM f""")
 def stage_states(spark, d):
     e = table(spark, d, "events")
     least = e.agg(F.min("event_type").alias("least"))  # one row
