@@ -213,15 +213,15 @@ def timestamps(spark, d):
     return v.select("event_id", T.timestamp(F.col("v")).alias("plain"), T.timestamp(F.col("v"), True).alias("srt"), T.ass_time(F.col("v")).alias("ass"))
 
 
-@query("""SELECT doc_id, greatest(1, floor(length(text) / 2.8::DOUBLE))::BIGINT AS tokens, sha256(text) AS sha256, len(regexp_extract_all(text, '\\b[A-Za-z0-9][A-Za-z0-9_./+#''-]*\\b'))::BIGINT AS english_words FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query("SELECT doc_id, greatest(1, floor(length(coalesce(text, '')) / 2.8::DOUBLE))::BIGINT AS tokens, sha256(coalesce(text, '')) AS sha256 FROM documents")
 def text_measures(spark, d):
-    t = table(spark, d, "documents").where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return t.select("doc_id", T.prompt_tokens(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("sha256"), T.english_words(F.col("text")).alias("english_words"))
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", T.prompt_tokens(text).alias("tokens"), F.sha2(text, 256).alias("sha256"))
 
 
 @query()
 def document_measures(spark, d):
-    """The measures of every document; text_measures has those that SQL can compare, whose words ASCII alone bounds."""
+    """The measures of every document with its English words, which letters of any script bound: SQL has no such boundary."""
     text = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", T.prompt_tokens(text).alias("tokens"), F.sha2(text, 256).alias("sha256"), T.english_words(text).alias("english_words"))
 
@@ -250,13 +250,14 @@ def summary_sizing(spark, d):
     return t.select("doc_id", "words_min", "words_max", "groups_min", "groups_max", "output", "context", F.bround(T.memory_gib(F.col("context")) * 1000).cast("bigint").alias("memory_mib"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(substr(text, 1, 78), '\\s+', ' ', 'g')), ' ') AS ws FROM documents), x AS (SELECT doc_id, ws, array_to_string(ws, ' ') AS t FROM w),
-c AS (SELECT doc_id, list_min(list_transform(range(1, len(ws)), lambda i: {'o': greatest(0, length(array_to_string(ws[:i], ' ')) - 42) + greatest(0, length(array_to_string(ws[i + 1:], ' ')) - 42),
+@query("""WITH w AS (SELECT conv_id, turn, role, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM conversations WHERE text IS NOT NULL), x AS (SELECT conv_id, turn, role, ws, array_to_string(ws, ' ') AS t FROM w),
+c AS (SELECT conv_id, turn, role, list_min(list_transform(range(1, len(ws)), lambda i: {'o': greatest(0, length(array_to_string(ws[:i], ' ')) - 42) + greatest(0, length(array_to_string(ws[i + 1:], ' ')) - 42),
   'd': abs(length(array_to_string(ws[:i], ' ')) - length(array_to_string(ws[i + 1:], ' '))), 'l': array_to_string(ws[:i], ' '), 'r': array_to_string(ws[i + 1:], ' ')})) AS m, t, len(ws) AS n FROM x)
-SELECT doc_id, CASE WHEN length(t) <= 42 OR n < 2 THEN t ELSE m.l || chr(10) || m.r END AS lines FROM c""")
+SELECT conv_id, turn, role, CASE WHEN length(t) <= 42 OR n < 2 THEN t ELSE m.l || chr(10) || m.r END AS lines FROM c""")
 def balanced_lines(spark, d):
-    t = F.trim(F.regexp_replace(F.substring("text", 1, 78), r"\s+", " "))
-    return table(spark, d, "documents").select("doc_id", T.balanced_lines(t).alias("lines"))
+    """The texts of conversations on two lines each."""
+    t = table(spark, d, "conversations").where("text IS NOT NULL").withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    return t.select("conv_id", "turn", "role", T.balanced_lines(F.col("text")).alias("lines"))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS f FROM documents), t AS (SELECT DISTINCT f, regexp_replace(f, '[^\\p{L}]', '', 'g') AS l FROM w)
@@ -332,7 +333,7 @@ def subtitle_cues(spark, d):
 
 @query()
 def balanced_cues(spark, d):
-    """The lines of every cue; balanced_lines has the beginnings of documents, which SQL can compare."""
+    """The lines of every cue."""
     return _cues(spark, d).select("media_id", "cue_index", T.balanced_lines(F.col("text")).alias("lines"))
 
 
