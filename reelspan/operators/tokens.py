@@ -66,9 +66,13 @@ def valid_words(rows: DataFrame) -> DataFrame:
     timed = F.filter(both, lambda w: _finite(w["s"]) & _finite(w["e"]) & (w["e"] >= w["s"]) & (w["key"] != ""))
     inside = lambda x, low: F.least(F.col("end"), F.greatest(low, x))
     clipped = F.transform(timed, lambda w: F.struct(inside(w["s"], F.col("start")).alias("s"), inside(w["e"], inside(w["s"], F.col("start"))).alias("e"), w["key"].alias("key"), w["p"].alias("p")))
-    steps = F.exists(F.sequence(F.lit(1), F.size("valid") - 1), lambda i: F.get("valid", i)["s"] + STEP_BACK < F.get("valid", i - 1)["s"])
-    ordered = F.when((F.size("valid") > 1) & steps, F.slice("valid", 1, 0)).otherwise(F.col("valid"))
-    return keyed.withColumn("valid", clipped).withColumn("valid", ordered).drop("words", "keys")
+
+    def in_order(ws: Column) -> Column:
+        late = lambda i: F.get(ws, i)["s"] + STEP_BACK < F.get(ws, i - 1)["s"]
+        return F.when((F.size(ws) > 1) & F.exists(F.sequence(F.lit(1), F.size(ws) - 1), late), F.slice(ws, 1, 0)).otherwise(ws)
+
+    # bound: as columns of their own, the words would be put into the steps, and made again for each
+    return keyed.withColumn("valid", once(clipped, in_order)).drop("words", "keys")
 
 
 def _tiers(segments: DataFrame) -> DataFrame:
