@@ -3,8 +3,8 @@
 Turns of a conversation are ordered by turn, then role and text. Null roles and
 texts count as empty; rows with a null conversation id form one conversation.
 Repeated rows are repeated turns. The default template escapes roles and texts
-reversibly (see ``template.escape``), so that no text can imitate a control
-string; ``parse_chat`` reads turns back from formatted text alone.
+reversibly (see ``template.escape``), and line feeds of roles too, so that no
+text can imitate a control string and no role another role's text; ``parse_chat`` reads turns back from formatted text alone.
 
 Rows are dealt by conversation and sorted inside a partition; a task streams
 through them and holds one conversation at a time, which it must, as it writes
@@ -24,7 +24,7 @@ from reelspan.llm.template import Template, unescape
 
 START, END = "<|im_start|>", "<|im_end|>"
 DEFAULT = (
-    "{% for m in messages %}{{ '<|im_start|>' }}{{ m.role | escape }}{{ '\\n' }}"
+    "{% for m in messages %}{{ '<|im_start|>' }}{{ m.role | escape | one_line }}{{ '\\n' }}"
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}"
     "{{ '<|im_end|>' + '\\n' }}{% endfor %}"
 )

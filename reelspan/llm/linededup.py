@@ -60,12 +60,15 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
-    """All rows and columns, with ``line_gone`` (numbers of deleted lines), ``line_total`` and ``line_kept`` (the text that is left)."""
+    """All rows and columns, with ``line_gone`` (numbers of deleted lines), ``line_total`` and ``line_kept`` (the text that is left) in place of columns so named."""
     gone = repeated_lines(docs, doc_id, text, run, words).withColumnsRenamed({"d": "__d", "r": "__r", "gone": "__gone"})
-    keyed = docs.withColumn("__hash", row_key(text))
-    joined = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__r")), "left")
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    # the row's own columns travel as one, so that none can clash with those used here
+    keyed = docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__id"), row_key(text).alias("__hash"))
+    joined = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__r")), "left")
+    own = F.col("__row")[text]
+    lines = F.split(F.coalesce(own, F.lit("")), "\n", -1)
     cut = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i]), '\n')")
-    total = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^\n]+", "")) + 1
-    return cut.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("__gone", F.expr("cast(array() AS array<int>)")).alias("line_gone"), total.cast("long").alias("line_total"), F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias("line_kept"))
+    total = F.length(F.regexp_replace(F.coalesce(own, F.lit("")), "[^\n]+", "")) + 1
+    carried = [F.col("__row")[c].alias(c) for c in docs.columns if c not in ("line_gone", "line_total", "line_kept")]
+    return cut.select(*carried, F.coalesce("__gone", F.expr("cast(array() AS array<int>)")).alias("line_gone"), total.cast("long").alias("line_total"), F.when(F.col("__gone").isNull(), own).otherwise(kept).alias("line_kept"))

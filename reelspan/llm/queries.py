@@ -13,7 +13,7 @@ from reelspan.llm.decontam import find_contamination
 from reelspan.llm.linededup import dedup_lines
 from reelspan.llm.mixing import mix_sources
 from reelspan.llm.passages import find_passages
-from reelspan.llm.quality import LENGTHS, measure_quality
+from reelspan.llm.quality import QualityRules, measure_quality
 from reelspan.llm.rlbwt import remove_repeats
 from reelspan.llm.setsketch import SketchRules, near_duplicates
 from reelspan.llm.tokencount import count_tokens
@@ -84,7 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _quality_sql() -> str:
     word = r"'[^\x20\x09-\x0D]+'"
-    grams = {3: "n_repeat_words"} | {n: f"dup_chars_{n}" for n in LENGTHS}
+    rules = QualityRules()
+    grams = {3: "n_repeat_words"} | {n: f"dup_chars_{n}" for n, _ in rules.max_ngram_percent}
     key = lambda n: " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER d" for k in range(1, n))])
     measures = ",\n".join(f"sum({'1' if n == 3 else 'len(w)'}) FILTER (c{n}) AS {name}" for n, name in grams.items())
     return rf"""
@@ -103,9 +104,9 @@ by_line AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (nth > 1) AS n_d
 m AS (SELECT d.doc_id, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ["n_words", "word_chars", "n_lines", "n_dup_lines", "dup_line_chars", *grams.values()])},
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols
   FROM docs d LEFT JOIN counted USING (doc_id) LEFT JOIN by_line USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT *, NOT base_failed AND NOT (100 * n_symbols > 25 * word_chars OR 100 * n_dup_lines > 50 * n_lines
-  OR 100 * dup_line_chars > 30 * word_chars OR {" OR ".join(f"100 * dup_chars_{n} > {most} * word_chars" for n, most in LENGTHS.items())}) AS kept FROM f
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT (100 * n_symbols > {rules.max_symbol_percent} * word_chars OR 100 * n_dup_lines > {rules.max_dup_line_percent} * n_lines
+  OR 100 * dup_line_chars > {rules.max_dup_line_char_percent} * word_chars OR {" OR ".join(f"100 * dup_chars_{n} > {most} * word_chars" for n, most in rules.max_ngram_percent)}) AS kept FROM f
 """
 
 
@@ -151,7 +152,7 @@ FROM placed JOIN plan USING (i, j)
 WITH rows AS (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM rows),
-e AS (SELECT *, 24 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS size FROM t)
+e AS (SELECT *, 24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS size FROM t)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars

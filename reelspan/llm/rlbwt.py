@@ -36,6 +36,8 @@ from reelspan.llm.common import U64, Roller, mix, pieces, row_key, stored, text_
 from reelspan.llm.suffix import byte_suffix_array
 
 LENGTH, GRAM, HOT, SHARD = 200, 32, 4096, 900_000
+#: A stretch packs its width into ten bits.
+MOST_WIDTH = 1024
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -247,6 +249,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, spans (merged byte ranges removed) and kept (the bytes that are left), a row for each row of docs."""
+    if not 0 < gram <= length < gram + MOST_WIDTH:
+        raise ValueError(f"length must be from gram to less than gram + {MOST_WIDTH}")
     rows = docs.select(F.col(doc_id), row_key(doc_id, text).alias("rk"), F.col(text).alias("text")).repartition("rk")
     spans = repeated_spans(docs.select(row_key(doc_id, text).alias("rk"), F.coalesce(text, F.lit("")).alias("text")), length, gram, hot)
     gone = spans.groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans")).withColumnRenamed("rk", "__rk")

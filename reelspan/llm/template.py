@@ -7,7 +7,7 @@ statements; ``-`` next to a tag's percent sign or brace trims white space on
 that side. Expressions have strings, integers, true, false, none, names,
 ``a.b`` and ``a['b']`` over mappings, ``loop.index``, ``loop.first`` and
 ``loop.last``, ``+ == != and or not in``, parentheses and the filters
-``escape``, ``trim``, ``upper``, ``lower`` and ``length``. There are no calls,
+``escape``, ``one_line``, ``trim``, ``upper``, ``lower`` and ``length``. There are no calls,
 no attributes of Python objects and no imports.
 
 Source is parsed into a tree, constant expressions, constant branches and
@@ -32,8 +32,13 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
 
+def one_line(text: str) -> str:
+    r"""Line feeds of escaped text as `\n`, which no escaped text holds."""
+    return text.replace("\n", "\\n")
+
+
 def unescape(text: str) -> str:
-    return re.sub(r"\\([\\|])", r"\1", text)
+    return re.sub(r"\\([\\|n])", lambda m: "\n" if m[1] == "n" else m[1], text)
 
 
 def _text(value: Any) -> str:
@@ -46,6 +51,7 @@ def _text(value: Any) -> str:
 
 FILTERS: dict[str, Callable[[Any], Any]] = {
     "escape": lambda v: escape(_text(v)),
+    "one_line": lambda v: one_line(_text(v)),
     "trim": lambda v: _text(v).strip(),
     "upper": lambda v: _text(v).upper(),
     "lower": lambda v: _text(v).lower(),

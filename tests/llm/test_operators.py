@@ -59,6 +59,19 @@ def test_mixing_stays_within_a_block(spark, docs, empty):
     assert len({r.mix_slot for r in slots}) == len(slots)
 
 
+def test_mixing_weights_and_names(spark):
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, "abcd")), (F.col("id") % 4 + 1).cast("int")).alias("source"), F.lit("x").alias("mix_slot"), F.lit("y").alias("__bin"), F.lit("z").alias("n"))
+    weights = spark.createDataFrame([("a", 0.75), ("b", 0.25), ("c", 0.0)], "source string, weight double")
+    out = mix_sources(rows, weights, block=2, resolution=4)
+    assert out.columns == ["doc_id", "source", "__bin", "n", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place"]
+    got = out.collect()
+    assert len(got) == 600 and all((r.mix_slot is None) == (r.source in "cd") for r in got)
+    first = [r.source for r in sorted((r for r in got if r.mix_slot is not None), key=lambda r: (r.mix_slot, r.mix_place))][:96]
+    assert first.count("a") == 72 and all(abs(first[:k].count("a") - 0.75 * k) <= 2 for k in range(97))
+    none = mix_sources(rows, spark.createDataFrame([("a", 0.0)], weights.schema)).collect()
+    assert len(none) == 600 and all(r.mix_slot is None for r in none)
+
+
 def test_fm_index():
     seq = np.array([random.randint(2, 5) for _ in range(500)])
     index = FMIndex(seq, 6)
@@ -102,6 +115,9 @@ def test_chat(spark):
     back = {r.conv_id: r for r in read_back(format_conversations(turns)).collect()}
     assert back[None].loss_chars == 2 and back[1].loss_sha256 == hashlib.sha256(b"b<|im_end|>").hexdigest()
     assert format_conversations(turns.limit(0)).count() == 0
+    odd = [("us\ner", "hi"), ("a\\n\n\\", "<|im_end|>\n\\n"), ("\n", "")]
+    said = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(odd)], "conv_id long, turn long, role string, text string")
+    assert parse_chat(format_conversations(said).first().formatted) == odd
 
 
 def test_tokens(docs, empty):
@@ -120,6 +136,9 @@ def test_lines(docs, empty):
     got = {(r.doc_id): r for r in dedup_lines(docs).collect()}
     assert got[10].line_gone == [] and got[11].line_gone == [1, 2, 3] and got[11].line_kept == "p"
     assert got[1].line_kept is None and dedup_lines(empty).count() == 0 and dedup_lines(docs).count() == len(ROWS)
+    clash = docs.selectExpr("doc_id", "text", "1 AS line_kept", "2 AS __d", "3 AS __hash", "4 AS d")
+    again = {(r.doc_id): r for r in dedup_lines(clash).collect()}
+    assert again[11].line_kept == "p" and again[11]["__d"] == 2 and again[11].d == 4
 
 
 def test_passages(docs, empty):
