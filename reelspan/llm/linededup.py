@@ -9,7 +9,7 @@ dropped by a join of positions. Around the others, matches extend both ways:
 each window that selected the fingerprint is keyed by all its lines, and windows
 with equal keys are equal runs. The first in (doc_id, position) order stays;
 the lines of every later one go, so longer repeats go as unions of their
-windows. With ``words``, runs of fewer lines form windows too once they have that
+windows. Windows are made in one pass over the texts and kept as a table. With ``words``, runs of fewer lines form windows too once they have that
 many words, so a repeat goes if it has ``run`` lines or ``words`` words, and a
 document of one or two lines takes part. No pairs are made: a group of copies costs its number of rows.
 
@@ -24,25 +24,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import row_key
+from reelspan.llm.common import row_key, stored
 
 RUN = 3
 WORD = r"[^\\x20\\x09-\\x0D]"
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _windows(docs: DataFrame, doc_id: str, text: str, run: int, words: int | None) -> DataFrame:
     """Every window of non-blank lines: its document, start, line numbers, fingerprint and key."""
     count = "0" if words is None else f"size(regexp_extract_all(l, '{WORD}+', 0))"
-    lines = docs.select(F.col(doc_id).alias("d"), row_key(text).alias("r"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("ls")).select(
-        "d", "r", F.expr(f"filter(transform(ls, (l, i) -> named_struct('i', i, 'h', xxhash64(l), 'n', {count}, 'word', l rlike '{WORD}')), x -> x.word)").alias("x")
-    )
-    of = lambda n: f"transform(sequence(0, size(x) - {n}), s -> named_struct('s', s, 'w', slice(x, s + 1, {n})))"
-    if words is None:
-        each = lines.where(F.size("x") >= run).withColumn("e", F.expr(of(run)))
-    else:
-        long = [f"if(size(x) >= {n}, filter({of(n)}, e -> aggregate(e.w, 0, (a, y) -> a + y.n) >= {words}), array())" for n in range(1, run)]
-        each = lines.withColumn("e", F.expr(f"concat({', '.join([*long, f'if(size(x) >= {run}, {of(run)}, array())'])})"))
-    cut = each.select("d", "r", F.explode("e").alias("e"))
+    x = f"filter(transform(split(coalesce({_quoted(text)}, ''), '\\n', -1), (l, i) -> named_struct('i', i, 'h', xxhash64(l), 'n', {count}, 'word', l rlike '{WORD}')), x -> x.word)"
+    of = lambda n: f"if(size(x) >= {n}, transform(sequence(0, size(x) - {n}), s -> named_struct('s', s, 'w', slice(x, s + 1, {n}))), array())"
+    short = [] if words is None else [f"filter({of(n)}, e -> aggregate(e.w, 0, (a, y) -> a + y.n) >= {words})" for n in range(1, run)]
+    # the lines are bound as a lambda's variable: as a column they would be made again for each window
+    every = F.expr(f"transform(array({x}), x -> concat({', '.join([*short, of(run)])}))[0]")
+    # an outer explode, as the optimizer tests what a plain one takes, and so makes it twice
+    cut = docs.select(F.col(doc_id).alias("d"), row_key(text).alias("r"), F.explode_outer(every).alias("e")).where("e IS NOT NULL")
     hashes = F.expr("transform(e.w, y -> y.h)")
     # lines of a repeated row are one place, not two
     return cut.select("d", "r", F.col("e.s").alias("s"), F.expr("transform(e.w, y -> y.i)").alias("at"), F.array_min(hashes).alias("fp"), F.xxhash64(hashes).alias("k1"), F.xxhash64(F.size("e.w"), F.reverse(hashes)).alias("k2"))
@@ -50,7 +51,7 @@ def _windows(docs: DataFrame, doc_id: str, text: str, run: int, words: int | Non
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
     """(d, r, gone): for documents with later repeats, the line numbers to delete."""
-    windows = _windows(docs, doc_id, text, run, words)
+    windows = stored(_windows(docs, doc_id, text, run, words), "windows")  # read three times
     place = F.struct("d", "r", "s")
     often = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("fp")
     near = windows.join(often, "fp", "left_semi")

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as P
-from reelspan.llm.linededup import dedup_lines
+from reelspan.llm.linededup import _windows, dedup_lines, repeated_lines
 
 rng = random.Random(4)
 
@@ -38,6 +38,17 @@ def test_short_runs_of_many_words_go(spark):
     assert left == {i for i in docs if len(gone[i]) < len(docs[i])}
 
 
+def test_lines_are_made_once(spark):
+    """Windows come from a kept table and its plan names the text's lines once: made again for each window, long documents cost the square of their lines."""
+    lines = [f"line {i}" for i in range(3000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["x", *lines[1000:2000]]))], "doc_id long, text string")
+    for words in (None, 50):
+        gone = repeated_lines(df, words=words)
+        assert "split(" not in gone._jdf.queryExecution().optimizedPlan().toString()
+        assert _windows(df, "doc_id", "text", 3, words)._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+        assert [(r.d, r.gone) for r in gone.collect()] == [(2, list(range(1, 1001)))]
+
+
 def test_one_row_of_a_group_stays(spark):
     base, other = prose(200).split(), prose(200)
     near = " ".join(["changed", *base[1:]])
