@@ -7,10 +7,8 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 
 @lru_cache(maxsize=1 << 16)
@@ -31,14 +29,3 @@ def similarity(left: str | None, right: str | None) -> float:
 @pandas_udf(DoubleType())
 def similarities(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([similarity(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
-
-
-@pandas_udf(ArrayType(StringType()))
-def _compatible(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda words: None if words is None else [unicodedata.normalize("NFKC", w) for w in words])
-
-
-def compatibility_forms(words: Column, line: Column) -> Column:
-    """The compatibility form of each word of a line; lines in ASCII have no other and don't leave the JVM."""
-    other = line.rlike(r"[^\x00-\x7F]")
-    return F.when(other, _compatible(F.when(other, words))).otherwise(words)

@@ -466,9 +466,9 @@ def optional_sums(spark, d):
 
 
 def _mined(spark, d):
-    # both are read several times
+    # all are read several times
     chunks = U.correction_chunks(_segments(spark, d)).persist(StorageLevel.DISK_ONLY)
-    return chunks, M.candidates(M.term_occurrences(chunks)).persist(StorageLevel.DISK_ONLY)
+    return chunks, M.candidates(M.term_occurrences(chunks).persist(StorageLevel.DISK_ONLY)).persist(StorageLevel.DISK_ONLY)
 
 
 @query()
