@@ -467,7 +467,7 @@ def optional_sums(spark, d):
 
 def _mined(spark, d):
     # all are read several times
-    chunks = U.correction_chunks(_segments(spark, d)).persist(StorageLevel.DISK_ONLY)
+    chunks = U.correction_chunks(_segments(spark, d), packed=True).persist(StorageLevel.DISK_ONLY)
     return chunks, M.candidates(M.term_occurrences(chunks).persist(StorageLevel.DISK_ONLY)).persist(StorageLevel.DISK_ONLY)
 
 
@@ -502,7 +502,7 @@ def rule_rejections(spark, d):
 def _corrected(spark, d):
     chunks, verdicts = _verdicts(spark, d)
     rules = C.accepted_rules(verdicts)
-    return rules, C.apply_rules(chunks, rules).persist(StorageLevel.DISK_ONLY)
+    return rules, C.apply_rules(chunks, rules)
 
 
 @query()
@@ -523,6 +523,8 @@ def display_words(spark, d):
 @query()
 def delivery_audit(spark, d):
     rules, corrected = _corrected(spark, d)
+    # read three times; the words are made again from what they take
+    corrected = corrected.select("media_id", "chunk_id", "source_text", "occurrences", "parts").persist(StorageLevel.DISK_ONLY)
     display = C.display_words(corrected)
     return C.delivery_audit(corrected, display, U.build_cues(C.words_of_display(display)), rules)
 
